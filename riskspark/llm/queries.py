@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, packing, quality, secret_scan, simhash
+from . import html_blocks, line_chunks, packing, quality, secret_scan, simhash
 from .shared import table
 
 
@@ -37,8 +37,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return line_chunks.deduplicate(docs, report=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secret_scan, op8_html_blocks, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secret_scan, op8_html_blocks, op9_packing, op10_line_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:
