@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_blocks, line_chunks, packing, quality, secret_scan, simhash, toxicity
+from . import embed_dedup, html_blocks, line_chunks, packing, quality, secret_scan, simhash, toxicity
 from .shared import table
 
 
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secret_scan, op6_toxicity, op8_html_blocks, op9_packing, op10_line_chunks)}
+    return {f.__name__: f for f in (op1_simhash, op2_embed_dedup, op3_quality, op4_secret_scan, op6_toxicity, op8_html_blocks, op9_packing, op10_line_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:
