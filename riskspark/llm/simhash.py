@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -124,3 +124,96 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFr
     return fps.join(named, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Words of a shingle, least similarity, and the sketch: bands of min-wise hashes that find pairs beyond two bits.
+STAGE_WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
+
+
+def shingle_set(text: bytes | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; case and white space as in fingerprint()."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(parts) - words + 1)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64))
+
+
+def _bands(docs: DataFrame) -> DataFrame:
+    """(doc_id, band key) of every text with a word: ROWS min-wise hashes under each of BANDS keys."""
+    rng = np.random.default_rng(SEED)
+    mult = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = shingle_set(t.as_py())
+                if len(h):
+                    low = np.full(BANDS * ROWS, ~np.uint64(0))
+                    for lo in range(0, len(h), 4096):
+                        x = h[lo : lo + 4096, None] * mult + add
+                        low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(0))
+                    ids += [i] * BANDS
+                    keys += [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "k"])
+
+    return docs.mapInArrow(run, "doc_id long, k long")
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, ta, tb) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in range(batch.num_rows):
+                x, y = shingle_set(batch.column(2)[r].as_py()), shingle_set(batch.column(3)[r].as_py())
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def similar_links(reps: DataFrame, turns: int = 2) -> DataFrame:
+    """Edges (a, b) between texts of reps (doc_id, text binary) that share SIMILAR of their five-word shingles.
+
+    Two bits of a fingerprint reach few pairs at that similarity, so this adds to them. Texts that share a band key are
+    candidates. In a bucket every member is compared with the least one, and in the second turn the members that this
+    did not link are compared among themselves in the same way; so a bucket of copies costs a comparison a member.
+    """
+    keys = stored(_bands(reps), "bands")
+    found = None
+    for turn in range(turns):
+        least = keys.groupBy("k").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("k", "b")
+        pairs = keys.join(least, "k").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
+        texts = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+        other = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+        linked = stored(_similar(pairs.join(texts, "a").join(other, "b").select("a", "b", "ta", "tb")), "similar")
+        found = linked if found is None else found.unionAll(linked)
+        if turn + 1 < turns:
+            rest = keys.join(linked.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+            keys = stored(rest.join(least, "k").where("doc_id != b").select("doc_id", "k"), "bands")
+    return found
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group: the one of the least doc_id, its columns as they are.
+
+    Documents group if their fingerprints are within two bits (as near_duplicates has it), or their texts share 0.8 of
+    their five-word shingles. Texts without words are one group. Rows with a null doc_id stay; a repeated doc_id stays
+    once.
+    """
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = stored(near_duplicates(slim).select("doc_id", "component_id").distinct(), "parts")
+    reps = slim.join(parts.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min(F.col("text").cast("binary")).alias("text"))
+    more = connected_components(similar_links(stored(reps, "reps")))
+    kept = parts.where("doc_id = component_id").select("doc_id").join(more.where("node != component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    rows = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept")).drop("__kept")
+    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    rows = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
+    return rows.unionByName(docs.where("doc_id is null"))
