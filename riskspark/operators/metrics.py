@@ -78,9 +78,9 @@ def ranking_metrics(df: DataFrame, keys: list[str] | None = None, y: str = "targ
         (F.col("pos") * tp / (tp + fp)).alias("a"),
         F.abs(ratio(tp, P) - ratio(fp, N)).alias("k"),
     )
-    g = terms.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.max("all_pos").alias("P"), F.max("all_neg").alias("N"), F.sum("u").alias("u"), F.sum("a").alias("a"), F.max("k").alias("k"))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    return g.select(*keys, "n", ratio(F.col("P"), F.col("n")).alias("pos_rate"), F.when(both, ratio(F.col("a"), F.col("P"))).alias("pr_auc"), F.when(both, F.col("u") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("k")).alias("ks"))
+    g = terms.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.max("all_pos").alias("ones"), F.max("all_neg").alias("zeros"), F.sum("u").alias("u"), F.sum("a").alias("a"), F.max("k").alias("k"))
+    both = (F.col("ones") > 0) & (F.col("zeros") > 0)
+    return g.select(*keys, "n", ratio(F.col("ones"), F.col("n")).alias("pos_rate"), F.when(both, ratio(F.col("a"), F.col("ones"))).alias("pr_auc"), F.when(both, F.col("u") / (F.col("ones").cast("double") * F.col("zeros"))).alias("roc_auc"), F.when(both, F.col("k")).alias("ks"))
 
 
 def reliability(df: DataFrame, bins: int = 20, keys: list[str] | None = None, y: str = "target", p: str = "y_prob") -> DataFrame:

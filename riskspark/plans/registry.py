@@ -1,4 +1,4 @@
-"""Every registered query with its oracle."""
+"""Every registered query of the core library with its oracle."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import metric_queries, table_queries  # noqa: F401  they register their queries
+from .cases import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["strategy_table"](spark, sf_dir)
+    return QUERIES["strategy_table"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
