@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.numeric import clip
-from riskspark.operators import business, calibrate, conformal, drift, metrics, model, select
+from riskspark.operators import business, calibrate, conformal, drift, join, metrics, model, select
 
 from .cases import CAPS, CASES, R, WEEKS, cases, lines, query, splits, table, tidy
 
@@ -554,3 +554,45 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def valid_predictions(spark: SparkSession, d: str) -> DataFrame:
     x = cases(spark, d).select("case_id", "WEEK_NUM", F.col("target").cast("string").alias("target"), F.when(F.col("case_id") % 5 == 0, "bad").otherwise(clip(F.col("y_prob"), 0.1, 0.9).cast("string")).alias("y_prob"))
     return tidy(metrics.valid_predictions(x, ["case_id", "WEEK_NUM"]))
+
+
+@query()
+def conformal_mondrian_weighted(spark: SparkSession, d: str) -> DataFrame:
+    x, val = _rolling(spark, d)
+    return tidy(conformal.rolling_mondrian(x.withColumn("w", 1 + F.col("case_id") % 7), val, _FIRST, weight="w", week="block"))
+
+
+@query()
+def conformal_binned_weighted(spark: SparkSession, d: str) -> DataFrame:
+    x, val = _rolling(spark, d)
+    return tidy(conformal.rolling_binned(x.withColumn("w", 1 + F.col("case_id") % 7), val, _FIRST, weight="w", week="block"))
+
+
+@query(
+    f"""with {CASES} select {R('coalesce(quantile_cont(' + _LL + ', ' + _A + ") filter (target = 0), 'inf'::double)")} as q0_global, {R('coalesce(quantile_cont(' + _LL + ', ' + _A + ") filter (target = 1), 'inf'::double)")} as q1_global from val"""
+)
+def conformal_global(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(conformal.global_thresholds(splits(spark, d)[1]))
+
+
+@query("select c_custkey as id, c_acctbal, o_orderkey from customer join (select o_custkey, o_orderkey from orders) on o_custkey = c_custkey")
+def discovered_join(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    return join.merge_on_id(a, table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey"))
+
+
+@query("select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as case_id from orders")
+def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
+    return join.number_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("case_id").cast("bigint").alias("case_id"))
+
+
+@query("select level, cast(dense_rank() over (order by level) - 1 as integer) as code from (select l_returnflag as level from lineitem union select o_orderstatus from orders)")
+def category_codes(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("x"))
+    return model.category_codes(a, table(spark, d, "orders").select(F.col("o_orderstatus").alias("x")), "x")
+
+
+@query()
+def iv_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = drift.iv_filter(splits(spark, d)[0], ["price_1A", "y_prob", "weekday_decision"], ["case_id"])
+    return spark.createDataFrame(sorted(found.items()), "feature string, iv double")
