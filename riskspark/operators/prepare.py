@@ -52,11 +52,15 @@ class Pruner:
     def fit(df: DataFrame, null_rate: float = 0.97, most_levels: int = 5000, q: float = 0.998, skip: tuple[str, ...] = (*RESERVED, "target")) -> Pruner:
         """Columns that are nearly always null, constant, or strings of very many levels go; others that end in p or a
         get an upper bound at quantile q, those that end in o also 0 below (and 1 at least above). Columns of 0 and 1
-        stay as they are. Two passes over the data: shares and levels, then exact quantiles."""
+        stay as they are. A column is constant if its least
+        value is its greatest; only strings are counted by levels, and exact quantiles take a pass of their own."""
         names = [(n, t) for n, t in df.dtypes if n not in skip]
-        shares = [(F.avg(col(n).isNull().cast("double")).alias(f"n{i}"), F.count_distinct(col(n)).alias(f"d{i}")) for i, (n, _) in enumerate(names)]
-        row = df.agg(*[e for pair in shares for e in pair]).first() if names else {}
-        drop = [n for i, (n, t) in enumerate(names) if (row[f"n{i}"] or 0) > null_rate or row[f"d{i}"] <= 1 or (t == "string" and row[f"d{i}"] > most_levels)]
+        shares = [e for i, (n, _) in enumerate(names) for e in (F.avg(col(n).isNull().cast("double")).alias(f"n{i}"), F.coalesce(F.min(col(n)) == F.max(col(n)), F.lit(True)).alias(f"c{i}"))]
+        row = df.agg(*shares).first() if names else {}
+        text = [n for n, t in names if t == "string"]
+        levels = df.agg(*[F.count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(text)]).first() if text else {}
+        many = {n for i, n in enumerate(text) if levels[f"d{i}"] > most_levels}
+        drop = [n for i, (n, _) in enumerate(names) if (row[f"n{i}"] or 0) > null_rate or row[f"c{i}"] or n in many]
         ends = [n for n, t in names if n not in drop and is_numeric(t) and n.lower().endswith(("p", "a", "o"))]
         if not ends:
             return Pruner(tuple(drop))

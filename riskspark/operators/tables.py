@@ -46,33 +46,35 @@ def soft_impute(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*out)
 
 
-def last(name: str, order: list[str]) -> Column:
-    """The value, null included, in the row that is last by `order`; rows that tie must be equal."""
-    return F.max_by(col(name), F.struct(*[col(o) for o in order]))
-
-
-def suffix_aggregates(df: DataFrame, order: list[str], key: str = "case_id") -> list[Column]:
-    """max_, last_ and mean_ columns as each name's suffix or ending asks; a date's mean is a day number."""
+def suffix_aggregates(df: DataFrame, key: str = "case_id") -> tuple[list[Column], list[str]]:
+    """The max_ and mean_ columns that each name's suffix or ending asks for, and the names that want a last_ column; a
+    date's mean is a day number."""
     out: list[Column] = []
+    lasts: list[str] = []
     for name, _ in df.dtypes:
         if name == key:
             continue
         s, c = suffix(name), col(name)
         if name.startswith("num_group") or s in ("M", "T", "L"):
-            kinds = ("max", "last")
+            kinds = ("max",)
         elif s in ("P", "A", "D") or name.endswith(("flag", "ratio", "delta")):
-            kinds = ("max", "last", "mean")
+            kinds = ("max", "mean")
         else:
             continue
         mean = F.avg(F.unix_date(c)) if s == "D" else F.avg(c)
-        made = {"max": F.max(c), "last": last(name, order), "mean": mean}
-        out += [made[k].alias(f"{k}_{name}") for k in kinds]
-    return out
+        out += [(F.max(c) if k == "max" else mean).alias(f"{k}_{name}") for k in kinds]
+        lasts.append(name)
+    return out, lasts
 
 
 def aggregate_child(df: DataFrame, order: list[str], key: str = "case_id") -> DataFrame:
-    """One row a key: one pre-aggregated pass, whatever the number of columns."""
-    return df.where(col(key).isNotNull()).groupBy(key).agg(*suffix_aggregates(df, order, key))
+    """One row a key: one pre-aggregated pass, whatever the number of columns. The last row's values travel as one
+    struct, so the order is compared once a row and not once a column."""
+    made, lasts = suffix_aggregates(df, key)
+    if lasts:
+        made.append(F.max_by(F.struct(*[col(c) for c in lasts]), F.struct(*[col(o) for o in order])).alias("__last"))
+    g = df.where(col(key).isNotNull()).groupBy(key).agg(*made)
+    return g.select(*[col(c) for c in g.columns if c != "__last"], *[F.col("__last")[c].alias(f"last_{c}") for c in lasts])
 
 
 def prepare_child(df: DataFrame, order: list[str] | None = None, depth: int | None = None, key: str = "case_id") -> DataFrame:
