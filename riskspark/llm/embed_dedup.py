@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import stored
-from .vectors import matrix, unit, usable
+from .vectors import matrix, unit, unusable, usable
 
 #: Reference points, how many of the nearest describe a vector, and how many of them two vectors must share. A pair of
 #: shared pivots names an inverted list.
@@ -142,13 +142,6 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     named = classes.join(degree, classes.rep == degree.a, "left").join(parts, classes.rep == parts.node, "left")
     named = named.select("v", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     seen = rows.select("vec_id", "v").join(named, "v").select("vec_id", "n_links", "component_id")
-    all_ = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    apart = _unusable(all_).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    apart = unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return seen.unionAll(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
-
-def _unusable(rows: DataFrame) -> DataFrame:
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    some = F.exists("v", lambda x: x != 0.0)
-    good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False))
-    return rows.where(~F.coalesce(good, F.lit(False)))
