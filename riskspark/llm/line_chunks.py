@@ -52,60 +52,69 @@ def _text(lines: str, begin: Column, end: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, th, spans) of docs (doc_id, text) that lose chunks; spans are the line ranges that go, in order.
+    """(id, th, spans) of the docs (doc_id, text) that hold candidates: chunks whose 64-bit hash repeats.
 
-    th is the text's hash. Candidates are chunks whose 64-bit hash repeats; their bytes are then compared by grouping
-    the texts themselves, and a hash that stands for two different texts removes nothing. The kept copy of a chunk is
-    the one of the least (doc_id, text hash, line).
+    th is the text's hash; a span has begin, end, x, and `first`, true at the copy that stays: the one of the least
+    (doc_id, text hash, line).
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), _lines(F.col("text")).alias("lines"))
     # explode_outer, since explode would put a filter with the whole of `chunks` written out below the projections
     cut = _chunked(rows).select("id", "th", F.explode_outer("chunks").alias("c")).where("c is not null")
     chunks = stored(cut.select("id", "th", "c.begin", "c.end", "c.x"), "chunks")
-    often = chunks.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    often = chunks.groupBy("x").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").select("x", "low")
     found = stored(chunks.join(often, "x"), "repeated")
-    wanted = found.groupBy("id", "th").agg(F.collect_set(F.struct("begin", "end", "x")).alias("cs"))
-    texts = (
-        _keyed(docs).join(wanted, (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th")))
-        .select(_lines(F.col("text")).alias("lines"), "cs", F.size("cs").alias("n"))
-        .select(F.explode_outer(F.when(F.size("lines") > 0, F.transform("cs", lambda c: F.struct(c["x"].alias("x"), _text("lines", c["begin"], c["end"]).alias("t"))))).alias("c"))
-        .select("c.x", "c.t")
-    )
-    same = texts.groupBy("x", "t").agg(F.count("*").alias("n")).groupBy("x").agg(F.count("*").alias("kinds")).where("kinds = 1").select("x")
-    first = found.groupBy("x").agg(F.min(F.struct("id", "th", "begin")).alias("f")).join(same, "x")
-    gone = found.join(first, "x").where(F.struct("id", "th", "begin") != F.col("f"))
-    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    least = found.where("id = low").groupBy("x").agg(F.min(F.struct("id", "th", "begin")).alias("f"))
+    marked = found.join(least, "x").withColumn("first", F.struct("id", "th", "begin") == F.col("f"))
+    return marked.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "x", "first"))).alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"), *[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _unequal(rows: DataFrame) -> DataFrame:
+    """(x): hashes that stand for different bytes, found by grouping the candidates' texts themselves."""
+    texts = rows.where("__spans is not null").select(_lines(F.col("text")).alias("lines"), "__spans", F.size("__spans").alias("n"))
+    texts = texts.select(F.explode_outer(F.transform("__spans", lambda c: F.struct(c["x"].alias("x"), _text("lines", c["begin"], c["end"]).alias("t")))).alias("c")).select("c.x", "c.t")
+    return texts.groupBy("x", "t").agg(F.count("*").alias("n")).groupBy("x").agg(F.count("*").alias("kinds")).where("kinds > 1").select("x")
+
+
 def deduplicate(docs: DataFrame, report: bool = False) -> DataFrame:
     """docs without the chunks of lines that an earlier document, or an earlier place of the same one, holds.
 
-    A chunk is a long line or several lines; see repeated_spans. Every row stays, with all its columns; n_chars, if
-    there, follows the text. A text that loses all its lines is empty. Null texts and rows with a null doc_id stay as
-    they are; repeated rows count as one. report adds removed_chunks and removed_lines.
+    A chunk is a long line or several lines (see _chunked). Chunks are matched by hash and then byte for byte: a hash
+    that stands for two different texts removes nothing. Every row stays, with all its columns; n_chars, if there,
+    follows the text. A text that loses all its lines is empty. Null texts and rows with a null doc_id stay as they
+    are; repeated rows count as one. report adds removed_chunks and removed_lines.
+
+    Whole texts are shuffled once, to meet their candidates; that table is stored and serves both the comparison of
+    bytes and the result. The hint keeps that plan at every size.
     """
-    gone = stored(repeated_spans(docs.select("doc_id", "text")), "gone")
-    rows = _keyed(docs).join(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left")
-    rows = rows.withColumn("__lines", F.when(F.col("__spans").isNotNull(), _lines(F.col("text"))))
+    spans = repeated_spans(docs.select("doc_id", "text")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    rows = stored(_keyed(docs).join(spans.hint("merge"), ["__id", "__th"], "left"), "candidates")
+    unequal = stored(_unequal(rows), "unequal")
+    if not unequal.isEmpty():  # two texts of one 64-bit hash
+        held = rows.where("__spans is not null").select("__id", "__th", F.explode("__spans").alias("s")).join(unequal, F.col("s.x") == F.col("x"))
+        held = held.groupBy("__id", "__th").agg(F.collect_set("x").alias("__held"))
+        rows = rows.join(held, ["__id", "__th"], "left")
+        rows = rows.withColumn("__spans", F.filter("__spans", lambda s: ~F.array_contains(F.coalesce("__held", F.array().cast("array<long>")), s["x"])))
+    rows = rows.withColumn("__gone", F.filter("__spans", lambda s: ~s["first"]))
+    lost = F.size("__gone") > 0
+    rows = rows.withColumn("__lines", F.when(lost, _lines(F.col("text"))))
     kept = F.transform(
-        F.sequence(F.lit(0), F.size("__spans")),
+        F.sequence(F.lit(0), F.size("__gone")),
         lambda j: F.slice(
             "__lines",
-            F.coalesce(F.get("__spans", j - 1)["end"] + 1, F.lit(0)) + 1,
-            F.coalesce(F.get("__spans", j)["begin"], F.size("__lines")) - F.coalesce(F.get("__spans", j - 1)["end"] + 1, F.lit(0)),
+            F.coalesce(F.get("__gone", j - 1)["end"] + 1, F.lit(0)) + 1,
+            F.coalesce(F.get("__gone", j)["begin"], F.size("__lines")) - F.coalesce(F.get("__gone", j - 1)["end"] + 1, F.lit(0)),
         ),
     )
-    lost = F.col("__spans").isNotNull()
     out = rows.withColumn("__text", F.when(lost, F.array_join(F.flatten(kept), "\n")).otherwise(F.col("text")))
     made = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(lost, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
     cols = [made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns]
     if report:
-        lines = F.aggregate("__spans", F.lit(0), lambda a, s: a + s["end"] - s["begin"] + 1)
-        cols += [F.when(lost, F.size("__spans")).otherwise(0).alias("removed_chunks"), F.when(lost, lines).otherwise(0).alias("removed_lines")]
+        lines = F.aggregate("__gone", F.lit(0), lambda a, s: a + s["end"] - s["begin"] + 1)
+        cols += [F.when(lost, F.size("__gone")).otherwise(0).alias("removed_chunks"), F.when(lost, lines).otherwise(0).alias("removed_lines")]
     return out.select(*cols)
