@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ CAPACITY = 4096
 PART = 4096
 ROUNDS = 2
 END = np.array([1], "<u4").tobytes()
+#: ASCII letters, then marks; an apostrophe may begin a word's ending, so it is none of them.
+_MARKED = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
 _tokenizers: dict = {}
 
 
@@ -35,13 +38,19 @@ class Encoder:
 
         self.model, self.keep, self.known = Tokenizer.from_file(path), keep, {}
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: set[bytes]) -> None:
+        """A run of letters and the marks after it are cut apart here as the tokenizer cuts them, so that a word is
+        encoded once, not once for each mark that follows it."""
         if len(self.known) + len(chunks) > self.keep:
             self.known.clear()
-        for lo in range(0, len(chunks), 20_000):
-            part = chunks[lo : lo + 20_000]
+        cut = {c: m.groups() for c in chunks if (m := _MARKED.fullmatch(c))}
+        whole = chunks.difference(cut).union(*cut.values()) if cut else chunks
+        todo = [c for c in whole if c not in self.known]
+        for lo in range(0, len(todo), 20_000):
+            part = todo[lo : lo + 20_000]
             found = self.model.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
             self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
+        self.known.update((c, self.known[a] + self.known[b]) for c, (a, b) in cut.items())
 
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:
@@ -53,7 +62,7 @@ class Encoder:
             missing = set(chunks).difference(known)
             if len(known) + len(missing) > self.keep:
                 missing = set(chunks)
-            self._learn(list(missing))
+            self._learn(missing)
             return b"".join(map(self.known.__getitem__, chunks))
 
 
