@@ -53,12 +53,13 @@ class Terms:
 
 
 class Hashed:
-    """Hashed features of a text: each term counts once, however often or in however long a text it comes."""
+    """Hashed features of a text: each term counts once, however often or in however long a text it comes. With `among`,
+    other features are left out, which at scoring are all those of weight zero."""
 
-    def __init__(self, keep: int = 300_000) -> None:
-        self.keep, self.known, self.terms = keep, {}, Terms(1)
+    def __init__(self, keep: int = 300_000, among: dict[int, float] | None = None) -> None:
+        self.keep, self.known, self.terms, self.among = keep, {}, Terms(1), among
 
-    def of(self, text: bytes) -> np.ndarray:
+    def of(self, text: bytes) -> set[int]:
         chunks, known = set(text.split()), self.known
         missing = chunks.difference(known)
         if missing:
@@ -66,9 +67,9 @@ class Hashed:
                 known.clear()
                 missing = chunks
             for c in missing:
-                known[c] = tuple(xxhash.xxh64_intdigest(t) & ((1 << BITS) - 1) for t in self.terms.of(c))
-        found = set().union(*map(known.__getitem__, chunks))
-        return np.fromiter(found, np.int64, len(found))
+                found = (xxhash.xxh64_intdigest(t) & ((1 << BITS) - 1) for t in self.terms.of(c))
+                known[c] = tuple(found if self.among is None else filter(self.among.__contains__, found))
+        return set().union(*filter(None, map(known.__getitem__, chunks)))
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ftrl.Ftrl = ftrl.Ftrl(alph
                 text = t.as_py() or b""
                 own = sorted(words[w] for w in terms.of(text) & words.keys())
                 said.append(own + [len(words) + i for i, (_, p) in enumerate(_PATTERNS) if p.search(text)])
-                at.append(hashed.of(text))
+                at.append(sorted(hashed.of(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], ["place", "y", "votes", "at"])
 
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
@@ -213,12 +214,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bias = sparse.pop(1 << BITS, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Hashed()
-        hashed.known, own = {}, sparse
+        hashed, own = Hashed(500_000, sparse), sparse
         for b in batches:
             out = []
             for t in b.column(1):
-                z = bias + sum(sorted(own.get(i, 0.0) for i in set(hashed.of(t.as_py() or b"").tolist()).intersection(own)))
+                z = bias + sum(sorted(map(own.__getitem__, hashed.of(t.as_py() or b""))))
                 out.append(1 / (1 + np.exp(-min(35.0, max(-35.0, z)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
