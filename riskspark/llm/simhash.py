@@ -140,14 +140,14 @@ def shingle_set(text: bytes | None, words: int = STAGE_WORDS) -> np.ndarray:
 
 
 def _bands(docs: DataFrame) -> DataFrame:
-    """(doc_id, band key) of every text with a word: ROWS min-wise hashes under each of BANDS keys."""
+    """(doc_id, k, n) of every text with a word: ROWS min-wise hashes under each of BANDS keys, and its shingles' number."""
     rng = np.random.default_rng(SEED)
     mult = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, keys, sizes = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h = shingle_set(t.as_py())
                 if len(h):
@@ -156,10 +156,11 @@ def _bands(docs: DataFrame) -> DataFrame:
                         x = h[lo : lo + 4096, None] * mult + add
                         low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(0))
                     ids += [i] * BANDS
+                    sizes += [len(h)] * BANDS
                     keys += [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["doc_id", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "k", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, k long")
+    return docs.mapInArrow(run, "doc_id long, k long, n long")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -167,9 +168,12 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for r in range(batch.num_rows):
-                x, y = shingle_set(batch.column(2)[r].as_py()), shingle_set(batch.column(3)[r].as_py())
+            keep, sets = [], {}
+            for r, ends in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                for side, i in enumerate(ends):
+                    if i not in sets:
+                        sets[i] = shingle_set(batch.column(2 + side)[r].as_py())
+                x, y = sets[ends[0]], sets[ends[1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= SIMILAR * (len(x) + len(y) - both))
             at = pa.array(np.flatnonzero(keep))
@@ -178,26 +182,57 @@ def _similar(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def similar_links(reps: DataFrame, turns: int = 2) -> DataFrame:
-    """Edges (a, b) between texts of reps (doc_id, text binary) that share SIMILAR of their five-word shingles.
+def _with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    texts = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    other = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(texts, "a").join(other, "b").select("a", "b", "ta", "tb")
 
-    Two bits of a fingerprint reach few pairs at that similarity, so this adds to them. Texts that share a band key are
-    candidates. In a bucket every member is compared with the least one, and in the second turn the members that this
-    did not link are compared among themselves in the same way; so a bucket of copies costs a comparison a member.
+
+def _grouped(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """keys with `c`, the component that links (a, b) give each doc_id."""
+    found = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    return keys.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+
+
+def _across(keys: DataFrame, block: int) -> DataFrame:
+    """(a, b), a > b: all pairs of keys (doc_id, k, n, c) of one k whose c differ and whose sizes allow SIMILAR.
+
+    A bucket is cut into parts of about `block` members, and two parts meet under a key of their own, so that no task
+    has more than block x block pairs of a bucket to look at.
+    """
+    mixed = keys.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    open_ = keys.join(mixed.where("lo < hi").select("k", "parts"), "k").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    left = open_.select("k", "doc_id", "n", "c", F.col("g").alias("x"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("y"))
+    right = open_.select("k", "doc_id", "n", "c", F.explode(F.sequence(F.lit(0), "g")).alias("x"), F.col("g").alias("y"))
+    l, r = left.alias("l"), right.alias("r")
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
+    once = (F.col("l.x") < F.col("l.y")) | (F.col("l.doc_id") < F.col("r.doc_id"))
+    fits = F.least("l.n", "r.n") >= SIMILAR * F.greatest("l.n", "r.n")
+    pairs = l.join(r, same & once & (F.col("l.c") != F.col("r.c")) & fits)
+    return pairs.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
+
+
+def similar_links(reps: DataFrame, turns: int = 2, block: int = 1024) -> DataFrame:
+    """Edges (a, b) that join texts of reps (doc_id, text binary) into the same groups as all candidate pairs would.
+
+    Texts that share a band key are candidates; an edge needs SIMILAR of the five-word shingles. First every member of
+    a bucket is compared with the least one, then what this did not group with it among itself in the same way; so a
+    bucket of copies costs a comparison a member. Then all pairs of a bucket that are not yet in one group are compared.
     """
     keys = stored(_bands(reps), "bands")
-    found = None
+    left, seen, found = keys, None, None
     for turn in range(turns):
-        least = keys.groupBy("k").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("k", "b")
-        pairs = keys.join(least, "k").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-        texts = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        other = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        linked = stored(_similar(pairs.join(texts, "a").join(other, "b").select("a", "b", "ta", "tb")), "similar")
-        found = linked if found is None else found.unionAll(linked)
+        least = left.groupBy("k").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1").select("k", "b")
+        pairs = stored(left.join(least, "k").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct(), "led")
+        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+        linked = stored(_similar(_with_texts(fresh, reps)), "similar")
+        seen, found = (pairs, linked) if seen is None else (seen.unionAll(pairs), found.unionAll(linked))
         if turn + 1 < turns:
-            rest = keys.join(linked.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
-            keys = stored(rest.join(least, "k").where("doc_id != b").select("doc_id", "k"), "bands")
-    return found
+            named = stored(_grouped(left, found), "grouped")
+            leads = named.groupBy("k").agg(F.min_by("c", "doc_id").alias("lead"))
+            left = stored(named.join(leads, "k").where("c != lead").select(*keys.columns), "bands")
+    rest = _across(stored(_grouped(keys, found), "grouped"), block).join(seen, ["a", "b"], "left_anti")
+    return found.unionAll(stored(_similar(_with_texts(rest, reps)), "similar"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

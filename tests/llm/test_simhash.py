@@ -76,3 +76,32 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(x.doc_id for x in out.collect() if x.doc_id is not None) == [0, *range(len(near) + 1, len(near) + 12)]
     assert out.where("doc_id is null").count() == 1
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_similar_links_are_those_of_all_candidates(spark):
+    r = random.Random(7)
+
+    def changed(t, n, mark):
+        t, o = list(t), r.randrange(8)
+        for i in range(n):
+            t[o + 232 * i // n] = f"{mark}x{i}"
+        return t
+
+    texts = []
+    for p in range(100):  # pairs above 0.8 amid texts of one template that lie mostly below
+        one = changed([f"t{i}" for i in range(240)], 5, f"p{p}")
+        texts += [one, changed(one, 4, f"q{p}")]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t).encode()) for i, t in enumerate(texts)]
+    reps = spark.createDataFrame(rows, "doc_id long, text binary")
+    at = {}
+    for x in simhash._bands(reps).collect():
+        at.setdefault(x.k, []).append(x.doc_id)
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    near = lambda a, b: len(sets[a] & sets[b]) >= simhash.SIMILAR * len(sets[a] | sets[b])
+    want = [(a, b) for a, b in {(a, b) for m in at.values() for a in m for b in m if a < b} if near(a, b)]
+    assert len(want) > 400
+    for how in ({}, {"block": 16}):
+        got = [(x.a, x.b) for x in simhash.similar_links(reps, **how).collect()]
+        assert all(near(a, b) for a, b in got)
+        assert groups(range(len(rows)), got) == groups(range(len(rows)), want)
