@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines that an earlier one holds."""
-    return line_chunks.deduplicate(docs)
+    """All documents, without chunks and passages of lines that an earlier one holds."""
+    return line_chunks.deduplicate(docs, passages=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return line_chunks.deduplicate(docs, report=True)
+    return line_chunks.deduplicate(docs, report=True, passages=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

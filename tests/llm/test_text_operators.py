@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -133,6 +134,38 @@ def test_line_chunks_compare_bytes(spark):
     assert [r.x for r in line_chunks._unequal(rows).collect()] == [5]
 
 
+def test_line_passages(spark):
+    r = random.Random(3)
+    line = lambda n: " ".join(r.choice("abcdefghij") * r.randrange(1, 6) + str(r.randrange(400)) for _ in range(n))
+    passages = [[line(r.randrange(4, 30)) for _ in range(r.randrange(3, 8))] for _ in range(30)]
+    rows = []
+    for i in range(150):
+        parts = [[line(r.randrange(1, 40)) for _ in range(r.randrange(3))] + r.choice([[], [""]]) + r.choice(passages) for _ in range(2)]
+        rows.append((i, "\n".join(sum(parts, []))))
+    rows += [(200, "\n".join(passages[0] * 3)), (201, "\n".join(["seven words are on this short line"] * 40))]
+    seen, gone = {}, {}
+    for i, text in rows:  # by line: all runs from here to a later line, of over 50 words together
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = lines[a : b + 1]
+                if run[0].strip() and run[-1].strip() and sum(t.count(" ") + 1 for t in run if t.strip()) > 50:
+                    of, end = seen.setdefault(tuple(run), (i, b))
+                    if of != i or a > end:
+                        gone.setdefault(i, set()).update(range(a, b + 1))
+    assert len(gone) > 60
+    df = spark.createDataFrame(rows, DOCS)
+    got = {x.doc_id: x.text for x in line_chunks.deduplicate(df, passages=True).collect()}
+    short = {x.doc_id: x.text for x in line_chunks.deduplicate(df).collect()}
+    kept = {t for x in got.values() for t in x.split("\n")}
+    for i, text in rows:
+        left = iter([t for k, t in enumerate(text.split("\n")) if k not in gone.get(i, ())])
+        assert all(t in left for t in got[i].split("\n") if t)  # no more than what is not repeated, in its order
+        assert set(text.split("\n")) - {""} <= kept
+    assert sum(map(len, got.values())) < sum(map(len, short.values()))
+    assert len(got[201].split("\n")) == 8
+
+
 def labelled(spark, n=600):
     good, junk, toxic = (lambda i: f"Plain words number{i % 17} and so on, well said. " * 5), (lambda i: f"junk{i % 13}%%% &&& words$$$ of{i % 7}### " * 6), (lambda i: f"Plain words number{i % 17} you idiotisch{i % 5} fool. " * 3)
     rows = [(i, (good, junk, toxic)[i % 3](i)) for i in range(n)]
