@@ -18,9 +18,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: What follows a key's first line where no END line does: header lines, then lines of base64 alone.
+_BODY = r"(?:\s*\n(?:Proc-Type|DEK-Info):[^\n]*)*(?:\s*\n[A-Za-z0-9+/=]+(?=\s*(?:\n|\Z)))*"
 #: Rules beyond the base ones; they only add spans.
 MORE = (
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("pem", rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----|{_BODY})", 0, 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
 KINDS = [k for k, *_ in (*BASE, *MORE)]
