@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ _CHUNK = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 _SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
 #: Nodes kept for reuse; chunks of more characters than this are not kept.
 KEEP, KEPT_LENGTH = 1_200_000, 40
+#: Symbols whose steps down the trie are a table's columns.
+COMMON = 128
 _models: dict = {}
 _ALL = (1 << 64) - 1
 
@@ -60,122 +63,167 @@ class Lattice:
         low = min(self.ids.values())
         self.weight = {i: 1.0 / (2.0 + i - low) for i in self.ids.values()}
         self.byte_weight = 1.0 / (1.0 + n)
-        self.starts = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)}
-        self.starts.update(self.ids)
+        self.log_weight = np.full(n, np.log(self.byte_weight))
+        for i, w in self.weight.items():
+            self.log_weight[i] = np.log(w)
+        self._trie()
         self._reset()
 
+    def _trie(self) -> None:
+        """The pieces' prefixes as a trie over symbols: a known character, or a byte of an unknown one.
+
+        Node 0 is the root; nodes that have children come first. `step` has a row for each of them and a column for each
+        of the COMMON most usual symbols; the other children lie in a sorted list of (node, symbol).
+        """
+        prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        usual = Counter(p[-1] for p in prefixes)
+        symbols = {c: i for i, (c, _) in enumerate(sorted(usual.items(), key=lambda x: (-x[1], x[0])), 1) if c in self.ids}
+        prefixes = {p for p in prefixes if all(c in symbols for c in p)}
+        self.symbol = np.zeros(0x110000, np.uint16)
+        for c, i in symbols.items():
+            self.symbol[ord(c)] = i
+        first = max(symbols.values()) + 1
+        self.byte_symbol = np.arange(first, first + 256, dtype=np.uint16)
+        inner = sorted({p[:-1] for p in prefixes} | {""})
+        place = {p: i for i, p in enumerate([*inner, *sorted(prefixes.difference(inner))])}
+        self.inner, self.longest = len(inner), max(map(len, prefixes))
+        self.ends = np.full(len(place) + 256, -1, np.int32)
+        self.step = np.zeros((len(inner), COMMON), np.int32)
+        rest = [(first + b, len(place) + b) for b in self.bytes]
+        for p, i in place.items():
+            self.ends[i] = self.ids.get(p, -1)
+            if p:
+                at, s = place[p[:-1]], symbols[p[-1]]
+                if s < COMMON:
+                    self.step[at, s] = i
+                else:
+                    rest.append(((at << 16) + s, i))
+        for b, i in self.bytes.items():
+            self.ends[len(place) + b] = i
+        rest.sort()
+        self.rare, self.rare_to = np.array([k for k, _ in rest], np.int64), np.array([i for _, i in rest], np.int32)
+
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
+        self.long: list[str] = []
         self.nodes = self.edges = 0
         self.first = np.zeros(1 << 16, np.int64)
         self.cum, self.chance = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.to, self.piece = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-
-    def _compile(self, chunk: str) -> list[list[tuple[int, int, float]]]:
-        """By node: (piece, node after it, chance). Sums over what follows are scaled at each node, so that a chunk of any
-        length keeps within range."""
-        n, starts, ids = len(chunk), self.starts, self.ids
-        place, chains, at = [], {}, 0
-        for i, c in enumerate(chunk):
-            place.append(at)
-            if c in ids:
-                at += 1
-            else:
-                chains[i] = c.encode("utf-8", "replace")
-                at += len(chains[i])
-        place.append(at)
-        out: list = [None] * at
-        total, log = [1.0] * (at + 1), [0.0] * (at + 1)  # the sum at a node is total * exp(log)
-        for i in range(n - 1, -1, -1):
-            if i in chains:
-                raw = chains[i]
-                for k in range(len(raw) - 1, -1, -1):
-                    node = place[i] + k
-                    out[node] = [(self.bytes[raw[k]], node + 1, 1.0)]
-                    total[node], log[node] = total[node + 1], log[node + 1] + np.log(self.byte_weight)
-                continue
-            node, found = place[i], []
-            for j in range(i + 1, n + 1):
-                k = starts.get(chunk[i:j])
-                if k is None:
-                    break
-                if k >= 0:
-                    found.append((k, place[j]))
-            top = max(log[t] for _, t in found)
-            parts = [self.weight[k] * total[t] * (1.0 if log[t] == top else np.exp(log[t] - top)) for k, t in found]
-            s = sum(parts)
-            out[node] = [(k, t, p / s) for (k, t), p in zip(found, parts)]
-            if s < 1e-200:
-                top += float(np.log(s))
-                s = 1.0
-            total[node], log[node] = s, top
+        self.to, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
+    def _symbols(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all chunks in a row, and each chunk's number of them."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        out = self.symbol[codes]
+        odd = np.flatnonzero(out == 0)
+        if not len(odd):
+            return out, length
+        raw = {c: np.frombuffer(chr(c).encode("utf-8", "replace"), np.uint8) for c in np.unique(codes[odd]).tolist()}
+        count = np.ones(len(codes), np.int64)
+        count[odd] = [len(raw[c]) for c in codes[odd].tolist()]
+        out, at = np.repeat(out, count), np.cumsum(count) - count
+        for c, r in raw.items():
+            out[(at[odd[codes[odd] == c]][:, None] + np.arange(len(r))).ravel()] = np.tile(self.byte_symbol[r], int((codes[odd] == c).sum()))
+        return out, np.add.reduceat(count, np.cumsum(length) - length)
+
+    def _fits(self, symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that fit at each place: their number by place, and in order of place and length their ids and ends.
+
+        All places go down the trie together, a symbol a turn.
+        """
+        at, node = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
+        found, width = [], np.zeros(len(symbols), np.int64)
+        for depth in range(1, self.longest + 1):
+            s = symbols[at + (depth - 1)]
+            usual = s < COMMON
+            child = self.step[node, np.where(usual, s, 0)]
+            odd = np.flatnonzero(~usual)
+            if len(odd):
+                key = (node[odd].astype(np.int64) << 16) + s[odd]
+                k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+                child[odd] = np.where(self.rare[k] == key, self.rare_to[k], 0)
+            on = np.flatnonzero(child)
+            at, node = at[on], child[on]
+            piece = self.ends[node]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((at[whole], piece[whole]))
+            width[at[whole]] += 1
+            on = np.flatnonzero((node < self.inner) & (left[at] > depth))
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        free = np.cumsum(width) - width
+        piece, end = np.empty(int(width.sum()), np.int32), np.empty(int(width.sum()), np.int64)
+        for depth, (at, ids) in enumerate(found, 1):
+            e = free[at]
+            piece[e], end[e] = ids, at + depth
+            free[at] += 1
+        return width, piece, end
+
+    def _chances(self, left: np.ndarray, width: np.ndarray, piece: np.ndarray, end: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Each edge's chance given its node: its weight times the sum over all that may follow, as a share. last: the
+        edges that end their chunk.
+
+        Places of equal distance from their chunk's end are taken together, the last ones first. Sums are kept as
+        logarithms, so that a chunk of any length keeps within range.
+        """
+        far = left.astype(np.uint16) if left.max() < 1 << 16 else left
+        nodes = np.argsort(far, kind="stable")
+        edges = np.argsort(np.repeat(far, width), kind="stable")
+        after = np.zeros(len(left) + 1)
+        weight, share = self.log_weight[piece[edges]], np.empty(len(edges))
+        to = np.where(last, len(left), end)[edges]  # the place after all others has a sum of one
+        count = np.bincount(left)[1:]
+        wide, lo, e = width[nodes], 0, 0
+        for n in count:
+            w = wide[lo : lo + n]
+            hi = e + int(w.sum())
+            v = weight[e:hi] + after[to[e:hi]]
+            starts = np.cumsum(w) - w
+            top = np.maximum.reduceat(v, starts)
+            v = np.exp(v - np.repeat(top, w))
+            total = np.add.reduceat(v, starts)
+            after[nodes[lo : lo + n]] = top + np.log(total)
+            share[e:hi] = v / np.repeat(total, w)
+            lo, e = lo + n, hi
+        out = np.empty(len(edges))
+        out[edges] = share
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, int]:
-        """The first node of each chunk."""
+        """The first node of each chunk. All new chunks are compiled together, in arrays."""
         if self.nodes > KEEP:
             self._reset()
-        known = self.known
-        missing = [c for c in chunks if c not in known]
+        missing = [c for c in chunks if c not in self.known]
         if not missing:
-            return known
-        width, mass, to, piece, starts, ends, spans = [], [], [], [], {}, [], []
-        node, weight, ids, begin = self.nodes, self.weight, self.ids, self.starts.get
-        for c in missing:
-            starts[c] = base = node
-            n = len(c)
-            if n > KEPT_LENGTH or not ids.keys() >= set(c):
-                for out in self._compile(c):
-                    width.append(len(out))
-                    for k, t, p in out:
-                        mass.append(p)
-                        to.append(base + t)
-                        piece.append(k)
-                    node += 1
-            else:
-                rows, after = [], [1.0] * (n + 1)
-                for i in range(n - 1, -1, -1):
-                    total, row = 0.0, []
-                    for j in range(i + 1, n + 1):
-                        k = begin(c[i:j])
-                        if k is None:
-                            break
-                        if k >= 0:
-                            p = weight[k] * after[j]
-                            total += p
-                            row.append((p, base + j, k))
-                    after[i] = total
-                    rows.append(row)
-                for row in reversed(rows):
-                    width.append(len(row))
-                    for p, t, k in row:
-                        mass.append(p)
-                        to.append(t)
-                        piece.append(k)
-                node += n
-            ends.append(node)
-            spans.append(len(to))
-        width, mass, to = np.array(width), np.array(mass), np.array(to, np.int64)
+            return self.known
+        symbols, length = self._symbols(missing)
+        ends = np.repeat(np.cumsum(length), length)
+        left = ends - np.arange(len(symbols))
+        width, piece, end = self._fits(symbols, left)
+        last = end == np.repeat(ends, width)
+        chance = self._chances(left, width, piece, end, last)
         lo = np.cumsum(width) - width
-        chance = mass / np.repeat(np.add.reduceat(mass, lo), width)
         run = np.cumsum(chance)
         run -= np.repeat(run[lo] - chance[lo], width)
-        cum = np.repeat(np.arange(self.nodes, node), width) + run
-        cum[lo + width - 1] = np.arange(self.nodes, node) + 1.0
-        to[to == np.repeat(ends, np.diff([0, *spans]))] = -1
-        nodes, edges = node, self.edges + len(to)
+        run[lo + width - 1] = 1.0
+        nodes, edges = self.nodes + len(symbols), self.edges + len(end)
         self._grow(nodes + 1, edges)
         self.first[self.nodes : nodes] = lo + self.edges
         self.first[nodes] = edges
-        for name, values in (("cum", cum), ("chance", chance), ("to", to), ("piece", piece)):
+        to = np.where(last, -1, end + self.nodes)
+        for name, values in (("cum", run), ("chance", chance), ("to", to), ("piece", piece)):
             getattr(self, name)[self.edges : edges] = values
+        self.known.update(zip(missing, (self.nodes + np.cumsum(length) - length).tolist()))
+        self.long += [c for c in missing if len(c) > KEPT_LENGTH]
         self.nodes, self.edges = nodes, edges
-        known.update(starts)
-        return known
+        return self.known
 
     def forget_long(self) -> None:
-        for c in [c for c in self.known if len(c) > KEPT_LENGTH]:
+        for c in self.long:
             del self.known[c]
+        self.long.clear()
 
     def _grow(self, nodes: int, edges: int) -> None:
         if nodes > len(self.first):
@@ -188,12 +236,16 @@ class Lattice:
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its chunk's end by chance: the edges taken, chunk after chunk, and each chunk's number."""
-        cum, to = self.cum[: self.edges], self.to
+        cum, to = self.cum, self.to
         who, at, step = np.arange(len(node)), node, 0
         owners, taken, steps = [], [], []
         while len(who):
             u = _uniform(key[who] + np.uint64(step * 0xD1342543DE82EF95 & _ALL))
-            e = np.searchsorted(cum, at + u, side="right")
+            e = self.first[at]
+            low = np.flatnonzero(cum[e] <= u)
+            while len(low):
+                e[low] += 1
+                low = low[cum[e[low]] <= u[low]]
             owners.append(who)
             taken.append(e)
             steps.append(np.full(len(who), step))
