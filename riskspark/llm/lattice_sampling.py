@@ -29,9 +29,12 @@ _ALL = (1 << 64) - 1
 def _mix(x: np.ndarray) -> np.ndarray:
     """splitmix64."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -67,6 +70,9 @@ class Lattice:
         for i, w in self.weight.items():
             self.log_weight[i] = np.log(w)
         self._trie()
+        self.first = np.zeros(1 << 16, np.int64)
+        self.cum, self.chance = np.zeros(1 << 18), np.zeros(1 << 18)
+        self.to, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self._reset()
 
     def _trie(self) -> None:
@@ -107,9 +113,6 @@ class Lattice:
         self.known: dict[str, int] = {}
         self.long: list[str] = []
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.cum, self.chance = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.to, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     def _symbols(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all chunks in a row, and each chunk's number of them."""
@@ -269,27 +272,40 @@ def lattice(path: str) -> Lattice:
 
 
 class _Path:
-    """A segmentation: its edges, each one's chunk, the log chance before each, and the best perturbed value of the sets
-    of segmentations that leave it at each edge (below its own; -inf before the edge where it left another path)."""
+    """A segmentation: its edges, each one's chunk, the log chance before each, and by edge the set of segmentations that
+    leave it there. Of each set `delay` is kept, the least exponential clock of its members as a logarithm (inf before
+    the edge where it left another path): the set's perturbed value, below the path's own, falls as its delay grows."""
 
-    __slots__ = ("edges", "owner", "before", "log_prob", "value", "leave", "taken")
+    __slots__ = ("edges", "owner", "before", "log_prob", "value", "delay", "taken")
 
-    def __init__(self, lat: Lattice, edges: np.ndarray, owner: np.ndarray, value: float, from_: int, noise: np.ndarray) -> None:
+    def __init__(self, lat: Lattice, edges: np.ndarray, owner: np.ndarray, value: float, from_: int, clock: np.ndarray) -> None:
         self.edges, self.owner, self.value = edges, owner, value
         p = lat.chance[edges]
         run = np.cumsum(np.log(p))
         self.before = np.concatenate([[0.0], run[:-1]]) if len(run) else run
         self.log_prob = float(run[-1]) if len(run) else 0.0
-        self.leave = np.full(len(edges), -np.inf)
+        self.delay = np.full(len(edges), np.inf)
+        rest = 1.0 - p[from_:]
+        rest[rest < 1e-15] = 0.0
         with np.errstate(divide="ignore"):
-            mass = self.before[from_:] + np.log(np.where(p[from_:] > 1 - 1e-15, 0.0, 1 - p[from_:]))
-        self.leave[from_:] = below(value, mass, noise)
+            self.delay[from_:] = np.log(clock / rest) - self.before[from_:]
         self.taken: dict[int, list[int]] = {}
 
+    def next(self) -> tuple[int, float]:
+        """The edge where the best of what is left leaves this path, and its value."""
+        if not len(self.delay):
+            return 0, -np.inf
+        t = int(self.delay.argmin())
+        return t, -float(np.logaddexp(-self.value, self.delay[t]))
+
+
+def _clock(x: np.ndarray) -> np.ndarray:
+    """Exponential variables."""
+    return -np.log(_uniform(x))
+
 
-def below(top: float, mass, gumbel):
-    """A Gumbel value of location mass, given that it is below top."""
-    return -np.logaddexp(-top, -(mass + gumbel))
+def _key(base: np.uint64, x: int) -> np.ndarray:
+    return base ^ _mix(np.array([x & _ALL], np.uint64))
 
 
 def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -315,10 +331,9 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
             for i, found in enumerate(paths):
                 best, v = None, -np.inf
                 for p in found:
-                    if len(p.leave):
-                        t = int(p.leave.argmax())
-                        if p.leave[t] > v:
-                            best, at, v = p, t, float(p.leave[t])
+                    t, g = p.next()
+                    if g > v:
+                        best, at, v = p, t, g
                 if best is None or len(found) < turn:
                     continue
                 if turn == k:  # the value that the k found are above
@@ -327,7 +342,7 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
                         out[i][x] = (ids, lp, g, float(-np.expm1(-np.exp(min(50.0, lp - v)))))
                     continue
                 values.append(v)
-                plans.append(_split(lat, nodes[i], i, best, at, v, base[i], turn))
+                plans.append(_split(lat, nodes[i], i, best, at, base[i], turn))
             if turn == k:
                 break
         if not plans:
@@ -345,32 +360,30 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
             if prefix is not None:
                 own, owner = np.concatenate([prefix[0], own]), np.concatenate([prefix[1], owner])
             noise_key = base[i] ^ (np.uint64((turn + 1) * 0xA0761D6478BD642F & _ALL))
-            noise = -np.log(-np.log(_uniform(noise_key + np.arange(first, len(own), dtype=np.uint64))))
-            p = _Path(lat, own, owner, float(v), first, noise)
+            p = _Path(lat, own, owner, float(v), first, _clock(noise_key + np.arange(first, len(own), dtype=np.uint64)))
             paths[i].append(p)
             out[i].append((lat.piece[own], p.log_prob, p.value, 1.0))
     lat.forget_long()
     return out
 
 
-def _split(lat: Lattice, nodes: np.ndarray, i: int, path: _Path, t: int, value: float, base: np.uint64, turn: int):
+def _split(lat: Lattice, nodes: np.ndarray, i: int, path: _Path, t: int, base: np.uint64, turn: int):
     """The set that leaves path at edge t, split: an edge not yet taken there is drawn, and what is left of the set gets a
     value below this one."""
     e = int(path.edges[t])
     gone = path.taken.setdefault(t, [e])
     node = int(np.searchsorted(lat.first[: lat.nodes + 1], e, side="right")) - 1
-    span = np.arange(lat.first[node], lat.first[node + 1])
-    left = span[~np.isin(span, gone)]
+    left = [x for x in range(int(lat.first[node]), int(lat.first[node + 1])) if x not in gone]
     p = lat.chance[left]
-    u = _uniform(np.array([base ^ _mix(np.array([turn * 1_000_003 + t], np.uint64))[0]], np.uint64))
-    new = int(left[min(len(left) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u[0], side="right")))])
+    u = _uniform(_key(base, turn * 1_000_003 + t))
+    new = left[min(len(left) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u[0], side="right")))]
     gone.append(new)
     rest = float(p.sum() - lat.chance[new])
     if len(left) > 1 and rest > 0:
-        g = -np.log(-np.log(_uniform(np.array([base ^ _mix(np.array([turn * 7_000_003 + t], np.uint64))[0]], np.uint64))))[0]
-        path.leave[t] = below(value, path.before[t] + np.log(rest), g)
+        clock = float(_clock(_key(base, turn * 7_000_003 + t))[0])
+        path.delay[t] = np.logaddexp(path.delay[t], np.log(clock / rest) - path.before[t])
     else:
-        path.leave[t] = -np.inf
+        path.delay[t] = np.inf
     o = int(path.owner[t])
     prefix = np.append(path.edges[:t], new), np.append(path.owner[:t], o)
     which, at = np.arange(o + 1, len(nodes)), nodes[o + 1 :]
