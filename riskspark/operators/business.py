@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.functions.bins import left_closed
 from riskspark.functions.numeric import ratio
 from riskspark.functions.schema import col
 
-from .drift import psi, quantile_edges
-from .metrics import SLICES, cumulate, on, score_counts
+from .drift import EPS, psi
+from .metrics import score_counts
+from .ranks import cumulate, on, quantiles, ranked
 
 
 def base_bad_rate(df: DataFrame) -> DataFrame:
@@ -32,17 +36,9 @@ def threshold_curve(df: DataFrame, points: int = 201) -> DataFrame:
     return cum.select("threshold", ratio(F.col("n_approved"), F.col("t")).alias("approval_rate"), ratio(F.col("b"), F.col("n_approved")).alias("bad_rate_in_approved"), "n_approved")
 
 
-def _ranked(df: DataFrame, tie: str, descending: bool = True) -> DataFrame:
-    """(rank, n, target) by score, ties by the key: rows are numbered within slices of the score, and slices among
-    themselves, so that no task sorts all of them."""
-    at = F.least(F.lit(SLICES - 1), F.floor(col("y_prob") * SLICES).cast("int"))
-    cut = df.select("target", "y_prob", col(tie).alias("__tie"), at.alias("__slice"))
-    order = F.col("y_prob").desc() if descending else F.col("y_prob")
-    sizes = cut.groupBy("__slice").agg(F.count("*").alias("c"))
-    before = Window.orderBy(F.desc("__slice") if descending else F.col("__slice")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__slice", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("__slice").orderBy(order, "__tie")
-    return cut.withColumn("r", F.row_number().over(inside)).join(F.broadcast(sizes), "__slice").select((F.col("r") + F.col("off")).alias("rank"), "n", "target", "y_prob", "__tie")
+def _ranked(df: DataFrame, tie: str) -> DataFrame:
+    """(rank, n, target) by falling score, ties by the key."""
+    return ranked(df.select("target", "y_prob", col(tie).alias("__tie")), ["y_prob", "__tie"], descending=True)
 
 
 def precision_at(df: DataFrame, shares: tuple[float, ...] = (0.05, 0.10, 0.15), tie: str = "case_id") -> DataFrame:
@@ -95,36 +91,51 @@ def weekly_stability(df: DataFrame, threshold: float, base: DataFrame | None = N
     return on(g, p, [week], "left")
 
 
-def strategy_table(val: DataFrame, test: DataFrame, caps: tuple[float, ...] = (0.016, 0.018, 0.020), week: str = "WEEK_NUM", least: int = 30) -> DataFrame:
+def strategy_table(val: DataFrame, test: DataFrame, caps: tuple[float, ...] = (0.016, 0.018, 0.020), week: str = "WEEK_NUM", least: int = 30, bins: int = 10) -> DataFrame:
     """A row a cap that validation can meet: the threshold, what it approves on validation and test, how often and how far
-    weeks go over the cap, and drift of the approved against validation's."""
+    weeks go over the cap, and drift of the approved against validation's.
+
+    Each row meets each cap once, in one pass that counts by cap, split, week and bin of the approved scores; the rest is
+    arithmetic on those counts (caps x 2 x weeks x bins of them), done on the driver.
+    """
     found = threshold_under_cap(val, caps).orderBy("bad_cap").collect()  # a row a cap
-    spark, rows = val.sparkSession, []
+    spark = val.sparkSession
+    rates = ["approve_rate double", "bad_rate_in_approved double", "approved_n long", "bad_capture_rate double", "share_weeks_over_cap double", "worst_week_bad double", "std_bad double"]
+    schema = ", ".join(["bad_cap double", "threshold double", *[f"{s}_{r}" for s in ("val", "test") for r in rates], "test_median_week_psi double", "test_max_week_psi double", "test_overall_psi double"])
+    if not found:
+        return spark.createDataFrame([], schema)
+    both = val.select(F.lit(0).alias("s"), col(week).alias("week"), "target", "y_prob").unionAll(test.select(F.lit(1), col(week), "target", "y_prob"))
+    met = both.withColumn("cap", F.explode(F.array(*[F.struct(F.lit(f.bad_cap).alias("cap"), F.lit(f.threshold).alias("t")) for f in found]))).select("s", "week", "target", "y_prob", "cap.cap", (F.col("y_prob") <= F.col("cap.t")).alias("ok"))
+    edges = {r.cap: list(r.q) for r in quantiles(met.where("s = 0 and ok"), "y_prob", [i / bins for i in range(1, bins)], ["cap"]).collect()}
+    cut = F.create_map(*[x for f in found for x in (F.lit(f.bad_cap), F.array(*[F.lit(e) for e in edges[f.bad_cap]]))])
+    binned = met.withColumn("bin", F.when(F.col("ok"), left_closed(F.col("y_prob"), cut[F.col("cap")])).otherwise(-1))
+    counts = binned.groupBy("cap", "s", "week", "bin").agg(F.count("*").alias("n"), F.sum("target").alias("bad")).toPandas()
+    out = []
     for f in found:
-        cap, t = f.bad_cap, f.threshold
-        base = val.where(col("y_prob") <= t)
-        e = quantile_edges(base, "y_prob", 10)
-        cells = []
-        for name, d in (("val", val), ("test", test)):
-            ok = col("y_prob") <= t
-            cells.append(d.agg(
-                F.avg(ok.cast("double")).alias(f"{name}_approve_rate"), F.avg(F.when(ok, F.col("target"))).alias(f"{name}_bad_rate_in_approved"),
-                F.sum(ok.cast("long")).alias(f"{name}_approved_n"), ratio(F.sum(F.when(~ok, F.col("target")).otherwise(0)), F.greatest(F.lit(1), F.sum("target"))).alias(f"{name}_bad_capture_rate"),
-            ))
-            w = weekly_stability(d, t, base, e, week, least)
-            aggs = [F.avg(F.coalesce((F.col("bad_rate_in_approved") > cap).cast("double"), F.lit(0.0))).alias(f"{name}_share_weeks_over_cap"), F.max("bad_rate_in_approved").alias(f"{name}_worst_week_bad"), F.stddev_pop("bad_rate_in_approved").alias(f"{name}_std_bad")]
-            if name == "test":
-                aggs += [F.median("psi").alias("test_median_week_psi"), F.max("psi").alias("test_max_week_psi")]
-            cells.append(w.agg(*aggs))
-        cells.append(psi(base, test.where(col("y_prob") <= t), "y_prob", edges=e).select(F.col("psi").alias("test_overall_psi")))
-        row = cells[0]
-        for c in cells[1:]:
-            row = row.join(F.broadcast(c), how="cross")  # one row each
-        rows.append(row.select(F.lit(cap).alias("bad_cap"), F.lit(t).alias("threshold"), "*"))
-    if not rows:
-        names = "bad_cap double, threshold double"
-        return spark.createDataFrame([], names)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        row: list = [f.bad_cap, f.threshold]
+        mine = counts[counts.cap == f.bad_cap]
+        for s in (0, 1):
+            row += _approved(mine[mine.s == s], f.bad_cap)
+        ok = mine[mine.bin >= 0]
+        grid = lambda d: np.bincount(d.bin.to_numpy(int), d.n.to_numpy(float), bins)
+        base, seen = grid(ok[ok.s == 0]), ok[ok.s == 1]
+        psis = [_psi(base, grid(d)) for _, d in seen.groupby("week") if d.n.sum() >= least]
+        row += [float(np.median(psis)) if psis else None, max(psis, default=None), _psi(base, grid(seen)) if len(seen) else None]
+        out.append(row)
+    return spark.createDataFrame(out, schema)
+
+
+def _approved(counts: pd.DataFrame, cap: float) -> list:
+    """Of one cap and split's counts by week and bin (-1: not approved): the rates over all rows and over weeks."""
+    ok = counts.bin >= 0
+    n, bad, n_ok, bad_ok = counts.n.sum(), counts.bad.sum(), counts.n[ok].sum(), counts.bad[ok].sum()
+    share = lambda a, b: float(a) / float(b) if b else None
+    weeks = counts[ok].groupby("week")[["n", "bad"]].sum()
+    rate = (weeks.bad / weeks.n).to_numpy(float)
+    total = counts.week.nunique()
+    return [share(n_ok, n), share(bad_ok, n_ok), int(n_ok), share(bad - bad_ok, max(1, bad)), share((rate > cap).sum(), total), float(rate.max()) if len(rate) else None, float(rate.std()) if len(rate) else None]
+
+
+def _psi(base: np.ndarray, other: np.ndarray) -> float:
+    e, a = base / max(1.0, base.sum()), other / max(1.0, other.sum())
+    return float(((a - e) * np.log((a + EPS) / (e + EPS))).sum())

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import right_closed
 from riskspark.functions.numeric import clip, ratio
 from riskspark.functions.schema import col
 
-from .metrics import on
+from .ranks import cumulate, held, on, quantiles
 
 ALPHA, WINDOW, RISK_BINS, BIN_ROWS, CLASS_ROWS = 0.05, 6, 5, 200, 20
 
@@ -27,8 +27,6 @@ def rank_quantile(df: DataFrame, value: Column, alpha: float = ALPHA) -> DataFra
     """(n, q): the k-th smallest value, k = min(n, ceil((n + 1)(1 - alpha))); values are counted before they are ordered."""
     c = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("c"))
     n = c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    from .metrics import cumulate
-
     cum = cumulate(c, "v", ["c"]).join(F.broadcast(n), how="cross")
     k = F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
     return cum.where(F.col("cum_c") >= k).agg(F.max("n").alias("n"), F.min("v").alias("q"))
@@ -38,9 +36,8 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, keys: li
     """(keys, q): the least value at which the running weight reaches q times the whole; null for no rows."""
     keys = keys or []
     g = df.where(col(value).isNotNull() & col(weight).isNotNull()).groupBy(*keys, col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    line = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select(*keys, "v", F.sum("w").over(line).alias("cw"), F.sum("w").over(Window.partitionBy(*keys)).alias("tw"))
-    return c.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("cw") >= F.lit(q) * F.col("tw"), F.col("v"))), F.max("v")).alias("q"))
+    c = cumulate(g, "v", ["w"], keys)
+    return c.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("cum_w") >= F.lit(q) * F.col("all_w"), F.col("v"))), F.max("v")).alias("q"))
 
 
 def coverage(df: DataFrame, keys: list[str] | None = None, by_class: bool = True) -> DataFrame:
@@ -71,13 +68,11 @@ def _class_q(rows: DataFrame, keys: list[str], alpha: float, weight: str | None)
     """(keys, n, n0, n1, q0, q1) of the log-loss scores by class."""
     s = log_loss(col("target"), col("y_prob"))
     y0, y1 = col("target") == 0, col("target") == 1
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n_cal"), F.sum(y0.cast("long")).alias("n0"), F.sum(y1.cast("long")).alias("n1"), *([F.percentile(F.when(y0, s), F.lit(1 - alpha)).alias("q0"), F.percentile(F.when(y1, s), F.lit(1 - alpha)).alias("q1")] if weight is None else []))
-    if weight is None:
-        return n
-    scored = rows.withColumn("__s", s)
-    for k, y in ((0, y0), (1, y1)):
-        n = on(n, weighted_quantile(scored.where(y), "__s", weight, 1 - alpha, keys).withColumnRenamed("q", f"q{k}"), keys, "left")
-    return n
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n_cal"), F.sum(y0.cast("long")).alias("n0"), F.sum(y1.cast("long")).alias("n1"))
+    scored = rows.where(col("target").isin(0, 1)).select(*keys, F.col("target").cast("int").alias("__y"), s.alias("__s"), *([col(weight)] if weight else []))
+    q = quantiles(scored, "__s", [1 - alpha], [*keys, "__y"]).withColumn("q", F.col("q")[0]) if weight is None else weighted_quantile(scored, "__s", weight, 1 - alpha, [*keys, "__y"])
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("__y") == k, F.col("q"))).alias(f"q{k}") for k in (0, 1)])
+    return on(n, wide, keys, "left")
 
 
 def global_thresholds(val: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -90,7 +85,7 @@ def rolling_symmetric(df: DataFrame, first_week: int, alpha: float = ALPHA, wind
     """(week, q, coverage...) with one threshold a week, by exact interpolated or weighted quantile of the weeks before."""
     cal = calibration_pairs(df, first_week, window, week)
     s = symmetric(col("target"), col("y_prob"))
-    q = cal.groupBy("wk").agg(F.percentile(s, F.lit(1 - alpha)).alias("q")) if weight is None else weighted_quantile(cal.withColumn("__s", s), "__s", weight, 1 - alpha, ["wk"])
+    q = quantiles(cal.withColumn("__s", s), "__s", [1 - alpha], ["wk"]).withColumn("q", F.col("q")[0]) if weight is None else weighted_quantile(cal.withColumn("__s", s), "__s", weight, 1 - alpha, ["wk"])
     x = df.join(F.broadcast(q), col(week) == F.col("wk")).select(col(week), "q", "target", (col("y_prob") <= F.col("q")).alias("in0"), ((1.0 - col("y_prob")) <= F.col("q")).alias("in1"))
     return coverage(x, [week, "q"])
 
@@ -117,7 +112,7 @@ def rolling_binned(df: DataFrame, val: DataFrame, first_week: int, alpha: float
     the latter are counted only where the bin stands.
     """
     cal = calibration_pairs(df, first_week, window, week)
-    e = cal.groupBy("wk").agg(F.percentile(col("y_prob"), F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    e = held(quantiles(cal, "y_prob", [i / bins for i in range(1, bins)], ["wk"]).withColumnRenamed("q", "edges"))
     binned = lambda d: d.withColumn("bin", right_closed(col("y_prob"), F.col("edges")))
     cal = binned(cal.join(F.broadcast(e), "wk"))
     spine = e.select("wk", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -125,6 +120,7 @@ def rolling_binned(df: DataFrame, val: DataFrame, first_week: int, alpha: float
     thin = F.coalesce(F.col("n_cal"), F.lit(0)) < bin_rows
     few = [thin | (F.col(f"n{k}") < class_rows) for k in (0, 1)]
     q = q.select("wk", "bin", *[F.when(few[k], F.col(f"q{k}_global")).otherwise(F.col(f"q{k}")).alias(f"q{k}") for k in (0, 1)], thin.cast("double").alias("fb"), *[(~thin & (F.col(f"n{k}") < class_rows)).cast("double").alias(f"f{k}") for k in (0, 1)])
+    q = held(q)
     rates = q.groupBy("wk").agg(F.avg("fb").alias("fallback_bin_rate"), F.avg("f0").alias("fallback0_rate"), F.avg("f1").alias("fallback1_rate"))
     x = binned(df.join(F.broadcast(e), col(week) == F.col("wk")))
     x = _with_sets(on(x, F.broadcast(q.select("wk", "bin", "q0", "q1")), ["wk", "bin"]))
@@ -143,5 +139,5 @@ def density_ratio(df: DataFrame, p: str = "g", calibration: int = 1, target: int
     """df with `w` = p / (1 - p) * calibration / target, capped at its own quantile."""
     q = clip(col(p), 1e-6, 1 - 1e-6)
     x = df.withColumn("w", q / (1.0 - q) * F.lit(calibration / max(1, target)))
-    top = x.agg(F.percentile("w", F.lit(cap)).alias("__cap"))
+    top = quantiles(x, "w", [cap]).select(F.col("q")[0].alias("__cap"))
     return x.join(F.broadcast(top), how="cross").withColumn("w", F.least("w", "__cap")).drop("__cap")

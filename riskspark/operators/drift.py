@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.functions.bins import equal_frequency, inner_quantiles, left_closed, right_closed
+from riskspark.functions.bins import left_closed, right_closed
 from riskspark.functions.numeric import ratio
 from riskspark.functions.schema import col
 
-from .metrics import cumulate, on
+from .ranks import cumulate, on, quantiles, ranked
+from .select import stacked
 
 EPS = 1e-6
 
 
 def quantile_edges(df: DataFrame, x: str, bins: int) -> list[float]:
     """Fitted state: the bins - 1 exact inner quantiles; empty where x has no values."""
-    return list(df.agg(inner_quantiles(x, bins).alias("e")).first().e or [])
+    found = quantiles(df, x, [i / bins for i in range(1, bins)]).first() if bins > 1 else None
+    return list(found.q) if found and found.q else []
 
 
 def spine(df: DataFrame, bins: int) -> DataFrame:
@@ -61,13 +63,32 @@ def weekly_psi(base: DataFrame, other: DataFrame, x: str = "y_prob", week: str =
     return psi(base, other, x, bins, keys=[week], least=least)
 
 
+def feature_edges(base: DataFrame, features: list[str], bins: int) -> DataFrame:
+    """(feature, e): the inner quantiles of every feature, all in one pass. A row a feature."""
+    return quantiles(stacked(base, features), "x", [i / bins for i in range(1, bins)], ["feature"]).withColumnRenamed("q", "e")
+
+
+def _psi_terms(act: Column, exp: Column, eps: float = EPS) -> Column:
+    return (act - exp) * F.ln((act + eps) / (exp + eps))
+
+
+def _share(df: DataFrame, n: str, keys: list[str], name: str) -> DataFrame:
+    """df, a row a bin, with `name`, n's share among the rows of one key (0 where they have none)."""
+    return df.withColumn(name, ratio(F.col(n), F.greatest(F.lit(1), F.sum(n).over(Window.partitionBy(*keys)))))
+
+
 def weekly_feature_psi(base: DataFrame, other: DataFrame, features: list[str], week: str = "WEEK_NUM", bins: int = 10, least: int = 30) -> DataFrame:
-    """(feature, week, n, psi) of each feature, in one shape: features are stacked and compared in a pass each."""
-    parts = [weekly_psi(base, other, f, week, bins, least).select(F.lit(f).alias("feature"), week, "n", "psi") for f in features]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    """(feature, week, n, psi) of each feature. Features are stacked, so that their number adds no pass over the data."""
+    edges = F.broadcast(feature_edges(base, features, bins))  # a row a feature
+    count = lambda df, keys, n: stacked(df, features, keys).where("x is not null").join(edges, "feature").groupBy("feature", *keys, left_closed(F.col("x"), F.col("e")).alias("bin")).agg(F.count("*").alias(n))
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    want = _share(grid.join(count(base, [], "a"), ["feature", "bin"], "left").na.fill(0, ["a"]), "a", ["feature"], "exp")
+    have = count(other, [week], "b")
+    groups = have.groupBy("feature", week).agg(F.sum("b").alias("n"))
+    full = on(groups.join(F.broadcast(want), "feature"), have, ["feature", week, "bin"], "left")
+    act = ratio(F.coalesce("b", F.lit(0)), F.greatest(F.lit(1), F.col("n")))
+    out = full.groupBy("feature", week).agg(F.max("n").alias("n"), F.sum(_psi_terms(act, F.col("exp"))).alias("psi"))
+    return out.withColumn("psi", F.when(F.col("n") >= least, F.col("psi")))
 
 
 def psi_summary(weekly: DataFrame) -> DataFrame:
@@ -78,9 +99,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     """(ks): the largest distance of the two empirical distribution functions; null where one side is empty."""
     one = lambda df, i: df.where(col(x).isNotNull()).select(col(x).cast("double").alias("v"), F.lit(i).alias("a"), F.lit(1 - i).alias("b"))
     g = one(a, 1).unionAll(one(b, 0)).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    low, high = a.select(col(x).alias("v")).unionAll(b.select(col(x).alias("v"))).agg(F.min("v"), F.max("v")).first()
-    low, high = float(low or 0.0), float(high or 0.0)
-    c = cumulate(g, "v", ["a", "b"], low=low, high=high if high > low else low + 1.0)
+    c = cumulate(g, "v", ["a", "b"])
     return c.agg(F.max(F.abs(ratio(F.col("cum_a"), F.col("all_a")) - ratio(F.col("cum_b"), F.col("all_b")))).alias("ks"))
 
 
@@ -123,17 +142,24 @@ def merge_small_bins(counts: list[tuple[object, int]], least: int) -> dict:
     return place
 
 
+def equal_frequency(df: DataFrame, x: str, bins: int, order: list[str]) -> DataFrame:
+    """df with `bin` from 0: x ranked (ties by order), ranks cut at their own quantiles, (lo, hi]."""
+    edges = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: 1.0 + (F.col("__n") - 1) * (i / F.lit(float(bins))))
+    return ranked(df, [x, *order], "__at", "__n").withColumn("__e", edges).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col("__at")))).drop("__at", "__n", "__e")
+
+
 def iv_qcut(df: DataFrame, x: str, order: list[str], y: str = "target", bins: int = 10, least: int = 30, eps: float = EPS) -> float:
     """Information value with equal-frequency bins (values of few levels are bins themselves), small bins merged.
 
     At most bins + 1 counted rows come to the driver.
     """
-    kinds = df.agg((F.count_distinct(col(x)) + F.max(col(x).isNull().cast("int"))).alias("d"), F.median(col(x)).alias("m") if dict(df.dtypes)[x] != "string" else F.lit(None).alias("m")).first()
+    kinds = df.agg((F.count_distinct(col(x)) + F.max(col(x).isNull().cast("int"))).alias("d")).first()
     if kinds.d <= bins:
         b = F.coalesce(col(x).cast("string"), F.lit("MISSING"))
         rows = df.select(b.alias("b"), col(y).alias("y"))
     else:
-        filled = df.select(F.coalesce(col(x), F.lit(kinds.m)).alias("v"), col(x).isNull().alias("gone"), col(y).alias("y"), *[col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+        middle = quantiles(df, x, [0.5]).first()
+        filled = df.select(F.coalesce(col(x), F.lit(middle.q[0] if middle and middle.q else None)).alias("v"), col(x).isNull().alias("gone"), col(y).alias("y"), *[col(o).alias(f"__o{i}") for i, o in enumerate(order)])
         cut = equal_frequency(filled, "v", bins, [f"__o{i}" for i in range(len(order))])
         rows = cut.select(F.when(F.col("gone"), "MISSING").otherwise(F.col("bin").cast("string")).alias("b"), "y")
     found = rows.groupBy("b").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("bad"), F.sum((F.col("y") == 0).cast("long")).alias("good")).collect()
@@ -163,19 +189,31 @@ def iv_filter(df: DataFrame, columns: list[str], order: list[str], y: str = "tar
     return out
 
 
-def stability_table(train: DataFrame, val: DataFrame, test: DataFrame, features: list[str], y: str = "target", bins: int = 10) -> DataFrame:
-    """A row a numeric feature: PSI, two-sample KS and IV of validation and test against training."""
-    parts = []
-    for f in features:
-        e = quantile_edges(train, f, bins)
-        cells = [psi(train, d, f, edges=e).select(F.col("psi").alias(f"psi_train_to_{n}")) for n, d in (("val", val), ("test", test))]
-        cells += [ks_two_sample(train, d, f).select(F.col("ks").alias(f"ks_train_vs_{n}")) for n, d in (("val", val), ("test", test))]
-        cells += [iv_numeric(d, f, e, y).select(F.col("iv").alias(f"iv_{n}")) for n, d in (("train", train), ("val", val), ("test", test))]
-        row = cells[0]
-        for c in cells[1:]:
-            row = row.join(F.broadcast(c), how="cross")  # one row each
-        parts.append(row.select(F.lit(f).alias("feature"), "*", (F.col("iv_val") - F.col("iv_train")).alias("iv_val_minus_train"), (F.col("iv_test") - F.col("iv_train")).alias("iv_test_minus_train")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+def stability_table(train: DataFrame, val: DataFrame, test: DataFrame, features: list[str], y: str = "target", bins: int = 10, eps: float = EPS) -> DataFrame:
+    """A row a numeric feature: PSI, two-sample KS and IV of validation and test against training.
+
+    All features and splits are stacked: one pass for the edges, one for the bins, one for the distributions.
+    """
+    names = ("train", "val", "test")
+    long = None
+    for i, d in enumerate((train, val, test)):
+        part = stacked(d, features, [y]).where("x is not null").select("feature", "x", (col(y) == 1).cast("long").alias("bad"), (col(y) == 0).cast("long").alias("good"), F.lit(i).alias("s"))
+        long = part if long is None else long.unionAll(part)
+    edges = F.broadcast(feature_edges(train, features, bins))  # a row a feature
+    both = long.join(edges, "feature").select("feature", "s", "bad", "good", F.explode(F.array(F.struct(F.lit(0).alias("way"), left_closed(F.col("x"), F.col("e")).alias("bin")), F.struct(F.lit(1).alias("way"), right_closed(F.col("x"), F.col("e")).alias("bin")))).alias("b"))
+    counts = both.groupBy("feature", "s", F.col("b.way").alias("way"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumn("way", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    full = grid.join(counts, ["feature", "bin", "way", "s"], "left").na.fill(0, ["n", "bad", "good"])
+    whole = ["feature", "way", "s"]
+    full = _share(full, "n", whole, "r")
+    smooth = lambda c: (F.col(c) + eps) / (F.sum(c).over(Window.partitionBy(*whole)) + F.lit(eps * bins))
+    full = full.withColumn("g", smooth("good")).withColumn("b", smooth("bad")).withColumn("iv", (F.col("g") - F.col("b")) * F.ln(F.col("g") / F.col("b")))
+    rate = full.where("way = 0").groupBy("feature", "bin").agg(*[F.max(F.when(F.col("s") == i, F.col("r"))).alias(f"r{i}") for i in range(3)])
+    psis = rate.groupBy("feature").agg(*[F.sum(_psi_terms(F.col(f"r{i}"), F.col("r0"), eps)).alias(f"psi_train_to_{names[i]}") for i in (1, 2)])
+    ivs = full.where("way = 1").groupBy("feature").agg(*[F.sum(F.when(F.col("s") == i, F.col("iv"))).alias(f"iv_{n}") for i, n in enumerate(names)])
+    steps = cumulate(long.groupBy("feature", "x").agg(*[F.sum((F.col("s") == i).cast("long")).alias(f"c{i}") for i in range(3)]), "x", ["c0", "c1", "c2"], ["feature"])
+    share = lambda i: ratio(F.col(f"cum_c{i}"), F.col(f"all_c{i}"))
+    ks = steps.groupBy("feature").agg(*[F.max(F.abs(share(0) - share(i))).alias(f"ks_train_vs_{names[i]}") for i in (1, 2)])
+    out = psis.join(ks, "feature").join(ivs, "feature")
+    cols = ["psi_train_to_val", "psi_train_to_test", "ks_train_vs_val", "ks_train_vs_test", "iv_train", "iv_val", "iv_test"]
+    return out.select("feature", *cols, (F.col("iv_val") - F.col("iv_train")).alias("iv_val_minus_train"), (F.col("iv_test") - F.col("iv_train")).alias("iv_test_minus_train"))

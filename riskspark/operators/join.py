@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from riskspark.functions.schema import col
+from .ranks import ranked
 
 #: Names that may identify a row, in order of preference.
 ID_NAMES = ("SK_ID_CURR", "case_id", "id", "ID", "application_id")
@@ -26,14 +25,15 @@ def merge_on_id(features: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "case_id") -> DataFrame:
-    """Consecutive numbers from 1 by a total order whose first column is numeric. Rows are numbered within equal slices
-    of that column's range, the slices among themselves, so no task sorts all rows unless the column is one value."""
-    first = col(order[0])
-    low, high = df.agg(F.min(first).cast("double"), F.max(first).cast("double")).first()
-    width = ((high - low) if low is not None and high > low else 1.0) / 1024
-    cut = df.withColumn("__p", F.coalesce(F.floor((first.cast("double") - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1)))
-    sizes = cut.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__p", before.alias("__b"))  # a row a slice
-    made = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*[col(o) for o in order])))
-    return made.join(F.broadcast(sizes), "__p").withColumn(name, F.col("__r") + F.col("__b")).drop("__p", "__r", "__b")
+    """Consecutive numbers from 1 by a total order whose first column is numeric (see ranks.ranked)."""
+    return ranked(df, order, name, "__n").drop("__n")
+
+
+def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Row k of a beside row k of b, each side by its own total order; a column on both sides comes from a. Raises where
+    the sides differ in length."""
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows against {m}: join on an id instead")
+    left, right = number_rows(a, order_a, "__at"), number_rows(b, order_b, "__at")
+    return left.join(right.drop(*[c for c in right.columns if c in a.columns]), "__at").drop("__at")

@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import score_bin
 from riskspark.functions.numeric import ratio
 from riskspark.functions.schema import col
 
-SLICES = 1024
-
-
-def on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join that takes null keys as equal; without keys, right is one row."""
-    if not keys:
-        return left.join(F.broadcast(right), how="cross") if how == "inner" else left.join(F.broadcast(right), F.lit(True), how)
-    marked = right.select(*[col(k).alias(f"__{k}") for k in keys], *[col(c) for c in right.columns if c not in keys])
-    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"__{k}")) for k in keys])
-    return left.join(marked, same, how).drop(*[f"__{k}" for k in keys])
-
-
-def cumulate(df: DataFrame, order: str, sums: list[str], keys: list[str] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """df, one row for each (keys, order), with `cum_<x>` (the running sum up to and with the row) and `all_<x>`.
-
-    A window over a whole group would sort it in one task. Here the order column's range is cut into slices; rows are
-    summed within slices, the slices' totals (SLICES a group at most) among themselves, and both are joined.
-    """
-    keys = keys or []
-    at = F.floor((col(order) - F.lit(low)) / F.lit(high - low) * SLICES).cast("int")
-    cut = df.withColumn("__slice", F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at)))
-    inside = Window.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cut.groupBy(*keys, "__slice").agg(*[F.sum(x).alias(f"__t_{x}") for x in sums])
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "__slice", *[F.coalesce(F.sum(f"__t_{x}").over(before), F.lit(0)).alias(f"__b_{x}") for x in sums], *[F.sum(f"__t_{x}").over(whole).alias(f"all_{x}") for x in sums])
-    made = cut.select("*", *[F.sum(x).over(inside).alias(f"__i_{x}") for x in sums])
-    joined = on(made, totals, [*keys, "__slice"])
-    return joined.select(*[col(c) for c in df.columns], *[(F.col(f"__i_{x}") + F.col(f"__b_{x}")).alias(f"cum_{x}") for x in sums], *[F.col(f"all_{x}") for x in sums])
-
+from .ranks import cumulate, on, quantiles
 
 def valid_predictions(df: DataFrame, keep: list[str] | None = None, clip_scores: bool = False) -> DataFrame:
     """target as int and y_prob as double, coerced; rows where either is null go. Raises if a column is missing.
@@ -107,9 +76,10 @@ def summary(df: DataFrame, keys: list[str] | None = None, y: str = "target", p:
 
 def prediction_shift(df: DataFrame, raw: str = "y_prob", new: str = "y_prob_cal", q: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """(q, raw, cal, diff, corr, mean_abs): exact quantiles of two scores, their correlation and mean difference."""
-    at = F.array(*[F.lit(x) for x in q])
-    row = df.agg(F.percentile(raw, at).alias("a"), F.percentile(new, at).alias("b"), F.corr(raw, new).alias("corr"), F.avg(F.abs(F.col(new) - F.col(raw))).alias("mean_abs"))
-    each = row.select("corr", "mean_abs", F.explode(F.arrays_zip(at.alias("q"), F.col("a"), F.col("b"))).alias("z"))
+    row = df.agg(F.corr(raw, new).alias("corr"), F.avg(F.abs(F.col(new) - F.col(raw))).alias("mean_abs"))
+    for name, x in (("a", raw), ("b", new)):
+        row = on(row, quantiles(df, x, list(q)).withColumnRenamed("q", name), [])
+    each = row.select("corr", "mean_abs", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in q]).alias("q"), F.col("a"), F.col("b"))).alias("z"))
     return each.select(F.col("z.q").alias("q"), F.col("z.a").alias("raw"), F.col("z.b").alias("cal"), (F.col("z.b") - F.col("z.a")).alias("diff"), "corr", "mean_abs")
 
 

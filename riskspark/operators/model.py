@@ -21,6 +21,7 @@ from riskspark.functions.schema import col
 from .conformal import density_ratio
 from .calibrate import probability
 from .metrics import ranking_metrics
+from .ranks import on, quantiles
 from .prepare import fold_frames
 
 SEED = 42
@@ -144,8 +145,8 @@ def mean_abs(shap: DataFrame, features: list[str], keys: list[str] | None = None
 def dependence(base: DataFrame, other: DataFrame, x: str, s: str, bins: int = 10, least: int = 30) -> DataFrame:
     """(bin, n_base, mean_x_base, mean_s_base, n_other, ...): contributions by bins of a feature, the edges from base's
     quantiles and 0. Bins need `least` rows on both sides; if none has, on either."""
-    q = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    e = [v for v in base.agg(unique_edges(F.percentile(x, q)).alias("e")).first().e or [] if v is not None]
+    e = quantiles(base, x, [i / bins for i in range(bins + 1)]).select(unique_edges(F.col("q")).alias("e")).first()
+    e = [v for v in (e.e if e else None) or [] if v is not None]
     edges = e[1:-1] if len(e) > 2 else []
     part = lambda d, n: d.where(col(x).isNotNull()).groupBy(right_closed(col(x), edges).alias("bin")).agg(F.count("*").alias(f"n_{n}"), F.avg(x).alias(f"mean_x_{n}"), F.avg(s).alias(f"mean_s_{n}"))
     j = part(base, "base").join(part(other, "other"), "bin", "full_outer")
@@ -205,7 +206,8 @@ def domain_weights(cal: DataFrame, target: DataFrame, features: list[str], cap:
 
 
 def weight_summary(w: DataFrame) -> DataFrame:
-    return w.agg(F.avg("w").alias("w_mean"), F.percentile("w", F.lit(0.95)).alias("w_p95"), F.percentile("w", F.lit(0.99)).alias("w_p99"), F.max("w").alias("w_cap"))
+    q = quantiles(w, "w", [0.95, 0.99]).select(F.col("q")[0].alias("w_p95"), F.col("q")[1].alias("w_p99"))
+    return on(w.agg(F.avg("w").alias("w_mean"), F.max("w").alias("w_cap")), q, []).select("w_mean", "w_p95", "w_p99", "w_cap")
 
 
 @dataclass(frozen=True)

@@ -2,30 +2,73 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.schema import col
 
+from .ranks import quantiles
+
 #: Which aggregate of a column is kept first when two are correlated.
 PREFERENCE = {"mean": 1, "median": 1, "max": 2, "min": 2, "std": 3, "var": 3, "p95": 3, "last": 4}
 
+#: Columns whose pairs are aggregates of one plan; more would make it too wide to compile.
+FEW = 16
+
 
 def preference(name: str) -> int:
-    m = re.match(r"([a-z0-9]+)_", name.lower())
-    return PREFERENCE.get(m[1], 99) if m else 99
+    return PREFERENCE.get(name.partition("_")[0], 99)
+
+
+def stacked(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(keep, feature, x double): a row for each row and feature."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), col(f).cast("double").alias("x")) for f in features])
+    return df.select(*[col(c) for c in keep or []], F.inline(cells))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) of each pair a before b, over the rows where both are known: one aggregation for all pairs."""
-    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j]]
-    if not pairs:
+    """(a, b, corr) of each pair a before b, over the rows where both are known; null where one does not vary.
+
+    Up to FEW columns are one aggregate a pair. Of more, each task adds up its rows' products in matrices and sends a row
+    a pair; the pairs' sums are then spread over all tasks. Columns are shifted by their means first, so that the
+    products do not cancel out.
+    """
+    k = len(columns)
+    if k < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    row = df.agg(*[F.corr(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(cells))
+    if k <= FEW:
+        pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j]]
+        both = lambda a, b: (F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b)))
+        corr = lambda x, y: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        row = df.agg(*[corr(*both(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
+    known = [F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for c in columns]
+    rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(known)])
+    mean = [v or 0.0 for v in rows.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).first()]
+    i, j = np.triu_indices(k, 1)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) - mean
+            m = ~np.isnan(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            part = np.stack([(m.T @ m)[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], (x.T @ x)[i, j]])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t) for t in total]], ["i", "j", *names])
+
+    sums = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names)).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    dx, dy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    corr = F.when((dx > 0) & (dy > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(dx) * F.sqrt(dy)))
+    name = lambda at: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(at) + 1)
+    return sums.select(name("i").alias("a"), name("j").alias("b"), corr.alias("corr"))
 
 
 def correlation_filter(df: DataFrame, columns: list[str], threshold: float = 0.8, keep: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
@@ -88,10 +131,16 @@ def union_of_tops(gain: DataFrame, shap: DataFrame, k_gain: int = 276, k_shap: i
 
 
 def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, na_rate, levels, min, median, max) of numeric columns, in one pass."""
-    cells = [F.struct(F.lit(c).alias("feature"), F.count(col(c)).alias("n"), F.avg(col(c).isNull().cast("double")).alias("na_rate"), F.count_distinct(col(c)).alias("levels"), F.min(col(c).cast("double")).alias("min"), F.median(col(c)).alias("median"), F.max(col(c).cast("double")).alias("max")) for c in columns]
-    row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    return row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(cells))])))
+    """(feature, n, na_rate, levels, min, median, max) of numeric columns: values are counted once for all of them."""
+    rows = stacked(df, columns)
+    counts = rows.groupBy("feature", "x").agg(F.count("*").alias("c"))
+    known = F.col("x").isNotNull()
+    g = counts.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0)).alias("n"), (F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)) / F.sum("c")).alias("na_rate"),
+        F.count("x").alias("levels"), F.min("x").alias("min"), F.max("x").alias("max"),
+    )
+    m = quantiles(rows, "x", [0.5], ["feature"]).select("feature", F.col("q")[0].alias("median"))
+    return g.join(m, "feature", "left").select("feature", "n", "na_rate", "levels", "min", "median", "max")
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

@@ -211,3 +211,66 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     q = monitor.windowed_counts(spark.readStream.schema(schema_).parquet(src)).writeStream.format("memory").queryName("weekly").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("weekly").collect())) == sorted(map(tuple, monitor.windowed_counts(spark.read.parquet(src)).collect()))
+
+
+@pytest.mark.parametrize("error", [None, 0.004])
+def test_quantiles_are_exact(spark, monkeypatch, error):
+    from riskspark.operators import ranks
+
+    if error:  # as coarse as the sketch of very many rows is beside them
+        monkeypatch.setattr(ranks, "ERROR", error)
+    r = np.random.default_rng(3)
+    groups = {"many": np.round(r.normal(size=3000) ** 3, 3), "spike": np.where(r.random(900) < 0.4, 7.0, r.random(900) * 10), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([5.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("none", None), ("few", None), ("one", float("nan"))]
+    probs = [0.0, 0.01, 0.333, 0.5, 0.95, 0.998, 1.0]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: x.q for x in ranks.quantiles(df, "v", probs, ["k"]).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        assert got[k] == pytest.approx(list(np.quantile(x, probs)), abs=1e-12)
+    assert ranks.quantiles(df, "v", [0.5]).first().q[0] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
+    assert ranks.quantiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_ranks_with_a_spike(spark):
+    from riskspark.operators import ranks
+
+    r = random.Random(5)
+    rows = [(i, 0.5 if r.random() < 0.6 else round(r.random(), 3)) for i in range(2000)] + [(5000, 1e12)]
+    df = spark.createDataFrame(rows, "i long, v double")
+    for down in (False, True):
+        want = sorted(rows, key=lambda x: (-x[1] if down else x[1], x[0]))
+        got = {x.i: x["rank"] for x in ranks.ranked(df, ["v", "i"], descending=down).collect()}
+        assert got == {i: n for n, (i, _) in enumerate(want, 1)}
+    assert ranks.sliced(df, ["v", "i"]).groupBy("__slice").count().agg({"count": "max"}).first()[0] < 200
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(500, 5)) @ r.normal(size=(5, 5)) + 1e4
+    rows = [tuple(None if r.random() < 0.1 else float(v) for v in t) + (1.0,) for t in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    few = {(t.a, t.b): t.corr for t in select.correlation_matrix(df, df.columns).collect()}
+    monkeypatch.setattr(select, "FEW", 2)
+    many = {(t.a, t.b): t.corr for t in select.correlation_matrix(df, df.columns).collect()}
+    assert few.keys() == many.keys() and all(many[p] == (pytest.approx(few[p], abs=1e-9) if "f" not in p else None) for p in few)
+
+
+def test_encoding_from_a_kept_state(spark):
+    r = random.Random(2)
+    rows = [(i, i // 60, r.choice("abc") if i % 50 else None, None if r.random() < 0.1 else int(r.random() < 0.3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "case_id long, WEEK_NUM long, k string, target int")
+    order = ["WEEK_NUM", "case_id"]
+    old, new = df.where("WEEK_NUM < 18"), df.where("WEEK_NUM >= 18")
+    a = prepare.running_target_encode(new, old, "k", order, prior=0.3)
+    b = prepare.running_target_encode(new, None, "k", order, prior=0.3, state=prepare.encoder_state(old, "k", order))
+    got, want = ({x.case_id: (x.k_te, x.k_trend) for x in t.collect()} for t in (b, a))
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+    seen: dict = {}
+    for i, w, k, y in rows:
+        h = seen.setdefault(k, [])
+        if w >= 18:
+            te = (sum(h) + 0.3 * 100 / (len(h) + 10)) / (len(h) + 100 / (len(h) + 10)) if len(h) >= 50 else 0.3
+            assert want[i] == pytest.approx((te, np.mean(h[-100:]) - te if len(h) >= 50 else 0.0))
+        if y is not None:
+            h.append(y)
