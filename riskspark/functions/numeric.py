@@ -32,5 +32,6 @@ def rounded(x: Column, scale: float = 1e6) -> Column:
 
 
 def finite(x: Column, other: float = 0.0) -> Column:
-    """Infinite, NaN and null values replaced."""
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(other)).otherwise(x)
+    """x as a double; infinite, NaN and null values replaced."""
+    y = x.cast("double")
+    return F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), F.lit(other)).otherwise(y)

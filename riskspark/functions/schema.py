@@ -64,6 +64,24 @@ def widen(df: DataFrame, key: str = "case_id", target: str = "target") -> DataFr
     return df.select(*[col(n).cast(kinds.get(n) or by_type.get(t, t)).alias(n) for n, t in df.dtypes])
 
 
+def normalise(df: DataFrame, week: str = "WEEK_NUM") -> DataFrame:
+    """Types as a model reads them: booleans as tinyint, doubles as float, the week as smallint (0 where it is no number).
+    Integers, floats and strings stay; any other type is an error."""
+    out = []
+    for n, t in df.dtypes:
+        if n == week:
+            out.append(F.coalesce(col(n).cast("string").try_cast("double").cast("smallint"), F.lit(0).cast("smallint")).alias(n))
+        elif t == "boolean":
+            out.append(col(n).cast("tinyint").alias(n))
+        elif t == "double" or t.startswith("decimal"):
+            out.append(col(n).cast("float").alias(n))
+        elif t in ("tinyint", "smallint", "int", "bigint", "float", "string"):
+            out.append(col(n))
+        else:
+            raise ValueError(f"no rule for column {n} of type {t}")
+    return df.select(*out)
+
+
 def nominal(df: DataFrame, domains: dict[str, int] | None = None) -> DataFrame:
     """Columns with a fixed integer domain, marked as nominal for pyspark.ml; values outside it are null."""
     domains = domains or {"month_decision": 12, "weekday_decision": 7}

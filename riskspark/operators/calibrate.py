@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -24,13 +22,29 @@ class Platt:
 
     @staticmethod
     def fit(df: DataFrame, y: str = "target", p: str = "y_prob") -> Platt:
-        x = VectorAssembler(inputCols=["__z"], outputCol="__x").transform(df.select(logit(col(p)).alias("__z"), col(y).cast("double").alias("__y")))
-        x = x.cache()
+        """By Newton's steps; each is one aggregation of the two coefficients' gradient and curvature."""
+        z, t = logit(col(p)), col(y).cast("double")
+        rows = df.select(z.alias("z"), t.alias("t")).where(F.col("z").isNotNull() & F.col("t").isNotNull()).groupBy("z").agg(F.count("*").cast("double").alias("n"), F.sum("t").alias("t")).cache()
+        a = b = 0.0
         try:
-            m = LogisticRegression(featuresCol="__x", labelCol="__y", standardization=False, regParam=1.0 / max(1, x.count()), maxIter=200, tol=1e-10).fit(x)
+            for _ in range(30):
+                q = 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("z") + F.lit(b))))
+                w = F.col("n") * q * (1.0 - q)
+                e = F.col("n") * q - F.col("t")
+                r = rows.agg(F.sum(e * F.col("z")).alias("ga"), F.sum(e).alias("gb"), F.sum(w * F.col("z") * F.col("z")).alias("aa"), F.sum(w * F.col("z")).alias("ab"), F.sum(w).alias("bb")).first()
+                if r.gb is None:
+                    break
+                ga, aa = r.ga + a, r.aa + 1.0
+                det = aa * r.bb - r.ab * r.ab
+                if det <= 0:
+                    break
+                da, db = (r.bb * ga - r.ab * r.gb) / det, (aa * r.gb - r.ab * ga) / det
+                a, b = a - da, b - db
+                if abs(da) + abs(db) < 1e-12:
+                    break
         finally:
-            x.unpersist()
-        return Platt(float(m.coefficients[0]), float(m.intercept))
+            rows.unpersist()
+        return Platt(a, b)
 
     def transform(self, df: DataFrame, p: str = "y_prob", out: str = "y_prob_cal") -> DataFrame:
         return df.withColumn(out, 1.0 / (1.0 + F.exp(-(logit(col(p)) * F.lit(self.slope) + F.lit(self.intercept)))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.bins import right_closed, unique_edges
+from riskspark.functions.numeric import finite
 from riskspark.functions.schema import col
 
 from .conformal import density_ratio
@@ -33,16 +33,16 @@ def balance(df: DataFrame, y: str = "target") -> float:
     return max(1.0, (r.n or 0) / max(1, r.p or 0))
 
 
-def align(df: DataFrame, features: list[str]) -> DataFrame:
-    """Raises if a feature is missing; otherwise df as it is."""
+def align(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The kept columns that are there, then the model's features in the model's order; raises if one is missing."""
     missing = [f for f in features if f not in df.columns]
     if missing:
         raise ValueError(f"missing features: {', '.join(missing)}")
-    return df
+    return df.select(*[col(k) for k in (df.columns if keep is None else keep) if k in df.columns and k not in features], *[col(f) for f in features])
 
 
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    known = [F.coalesce(F.when(~F.isnan(col(f).cast("double")), col(f).cast("double")), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)]
+    known = [finite(col(f)).alias(f"__f{i}") for i, f in enumerate(features)]
     rows = align(df, features).select("*", *known)
     return VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="features").transform(rows).drop(*[f"__f{i}" for i in range(len(features))])
 
@@ -53,10 +53,14 @@ class Boosted:
     features: list[str]
 
     @staticmethod
-    def fit(df: DataFrame, features: list[str], y: str = "target", rounds: int = 20, depth: int = 4, rate: float = 0.1, subsample: float = 1.0, least: int = 1) -> Boosted:
-        """Positive rows weigh balance(df); nulls are 0."""
-        x = _vectors(df, features).select("features", col(y).cast("double").alias("label")).withColumn("w", F.when(F.col("label") == 1, F.lit(balance(df, y))).otherwise(1.0))
-        gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=least, weightCol="w", seed=SEED)
+    def fit(df: DataFrame, features: list[str], y: str = "target", rounds: int = 20, depth: int = 4, rate: float = 0.1, subsample: float = 1.0, least: int = 1, gain: float = 0.0, bins: int = 32, columns: str = "all", share: float = 0.0, tolerance: float = 0.01, positive: float = 1.0, val: DataFrame | None = None) -> Boosted:
+        """Positive rows weigh balance(df), to the power of `positive`; nulls are 0. With `val`, boosting stops when these
+        rows' loss no longer falls by `tolerance`."""
+        weight = F.when(F.col("label") == 1, F.lit(balance(df, y) ** positive)).otherwise(1.0)
+        made = lambda d, held: _vectors(d, features).select("features", col(y).cast("double").alias("label"), F.lit(held).alias("held")).withColumn("w", weight)
+        x = made(df, False) if val is None else made(df, False).unionAll(made(val, True))
+        stop = {} if val is None else {"validationIndicatorCol": "held", "validationTol": tolerance}
+        gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=least, minInfoGain=gain, maxBins=bins, featureSubsetStrategy=columns, minWeightFractionPerNode=share, weightCol="w", seed=SEED, **stop)
         return Boosted(gbt.fit(x), features)
 
     def predict(self, df: DataFrame, keep: list[str] = ["case_id", "WEEK_NUM", "target"]) -> DataFrame:
@@ -102,7 +106,8 @@ class Boosted:
         """The kept columns and, by feature, its exact contribution to the margin (path-dependent Shapley values).
 
         A leaf pays its value if all features on its path let a row through; a feature not in a coalition lets through
-        its share. Paths hold few features, so the coalitions of a leaf are enumerated, for all rows of a batch at once.
+        its share. The coalitions of one size are summed as a coefficient of the product of (share + t * lets through)
+        over the path's other features, so that a path of m features takes m cubed steps, for all rows of a batch at once.
         """
         leaves, k = self.leaves(), len(self.features)
         names = list(self.features)
@@ -116,20 +121,17 @@ class Boosted:
                     m = len(path)
                     one = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
                     zero = [s for *_, s in path]
+                    pays = [math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m) for size in range(m)]
                     for i in range(m):
-                        rest = [j for j in range(m) if j != i]
-                        total = np.zeros(len(x))
-                        for size in range(m):
-                            weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                            for inside in itertools.combinations(rest, size):
-                                term = np.full(len(x), weight)
-                                for j in rest:
-                                    term = term * (one[j] if j in inside else zero[j])
-                                total += term
-                        phi[:, path[i][0]] += value * total * (one[i] - zero[i])
+                        sums = np.zeros((m, len(x)))  # by size of the coalition
+                        sums[0] = 1.0
+                        for n, j in enumerate(j for j in range(m) if j != i):
+                            sums[1 : n + 2] = sums[1 : n + 2] * zero[j] + sums[: n + 1] * one[j]
+                            sums[0] *= zero[j]
+                        phi[:, path[i][0]] += value * (pays @ sums) * (one[i] - zero[i])
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(have)], *[pa.array(phi[:, i]) for i in range(k)]], [*have, *names])
 
-        rows = align(df, names).select(*[col(c) for c in have], *[F.coalesce(col(f).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(names)])
+        rows = align(df, names).select(*[col(c) for c in have], *[finite(col(f)).alias(f"__f{i}") for i, f in enumerate(names)])
         from pyspark.sql import types as T
 
         schema = T.StructType([df.schema[c] for c in have] + [T.StructField(f, T.DoubleType()) for f in names])
@@ -156,6 +158,14 @@ def dependence(base: DataFrame, other: DataFrame, x: str, s: str, bins: int = 10
     return j.withColumn("__any", F.max((a & b).cast("int")).over(Window.partitionBy())).where(F.when(F.col("__any") == 1, a & b).otherwise(a | b)).drop("__any")
 
 
+def category_dependence(base: DataFrame, other: DataFrame, x: str, s: str, least: int = 30) -> DataFrame:
+    """(level, code, n_base, mean_s_base, n_other, mean_s_other): contributions by level of a categorical feature; levels
+    with `least` rows on either side stay."""
+    part = lambda d, n: d.where(col(x).isNotNull()).groupBy(col(x).alias("level")).agg(F.count("*").alias(f"n_{n}"), F.avg(s).alias(f"mean_s_{n}"))
+    j = category_codes(base, other, x).join(part(base, "base"), "level", "left").join(part(other, "other"), "level", "left")
+    return j.where((F.coalesce("n_base", F.lit(0)) >= least) | (F.coalesce("n_other", F.lit(0)) >= least))
+
+
 def category_codes(base: DataFrame, other: DataFrame, x: str) -> DataFrame:
     """(level, code): levels of both sides in order, from 0."""
     from pyspark.sql import Window
@@ -165,26 +175,51 @@ def category_codes(base: DataFrame, other: DataFrame, x: str) -> DataFrame:
 
 
 #: The search space: a value is drawn for each name.
-SPACE = {"depth": (3, 4, 5), "rate": (0.05, 0.1, 0.2), "subsample": (0.7, 0.85, 1.0), "least": (1, 10, 50)}
-
-
-def search(df: DataFrame, features: list[str], folds: list[tuple[int, int, int]], trials: int = 5, rounds: int = 10, seed: int = SEED) -> tuple[dict, float]:
-    """The best of seeded random draws from SPACE by mean average precision over expanding folds. Fold models are fitted
-    one after the other; each fit is distributed."""
-    draw, best = random.Random(seed), (None, -1.0)
+SPACE = {
+    "depth": (3, 4, 5, 6), "rate": (0.02, 0.05, 0.1, 0.2), "subsample": (0.6, 0.7, 0.85, 1.0), "least": (1, 10, 50, 200), "gain": (0.0, 1e-4, 1e-3),
+    "bins": (32, 64, 128), "columns": ("all", "0.8", "0.5", "sqrt"), "share": (0.0, 0.001, 0.01), "tolerance": (0.0, 0.001, 0.01), "positive": (1.0, 0.5),
+}
+
+
+def propose(tried: list[tuple[dict, float]], draw: random.Random, warm: int = 10, candidates: int = 24) -> dict:
+    """The next trial, by a tree of Parzen estimators over the discrete space (Bergstra et al., 2011): after `warm` random
+    ones, of some candidates drawn by how often the best quarter of trials took each value, the one that is likeliest
+    among these against the rest."""
+    if len(tried) < warm:
+        return {k: draw.choice(v) for k, v in SPACE.items()}
+    ranked_ = sorted(tried, key=lambda t: -t[1])
+    cut = max(1, len(ranked_) // 4)
+    count = lambda some, k: [1.0 + sum(p[k] == v for p, _ in some) for v in SPACE[k]]
+    good, bad = ({k: count(part, k) for k in SPACE} for part in (ranked_[:cut], ranked_[cut:]))
+    pool = [{k: draw.choices(v, good[k])[0] for k, v in SPACE.items()} for _ in range(candidates)]
+    score = lambda p: sum(math.log(good[k][SPACE[k].index(v)] / sum(good[k])) - math.log(bad[k][SPACE[k].index(v)] / sum(bad[k])) for k, v in p.items())
+    return max(pool, key=score)
+
+
+def search(df: DataFrame, features: list[str], folds: list[tuple[int, int, int]], trials: int = 100, rounds: int = 3000, seed: int = SEED) -> tuple[dict, float, int]:
+    """(parameters, mean average precision over expanding folds, best number of rounds on the last fold) of the best
+    trial. A fold's boosting stops early on its own validation rows. Fold models are fitted one after the other; each
+    fit is distributed."""
+    draw, tried, best = random.Random(seed), [], ({}, -1.0, 1)
     for _ in range(trials):
-        params = {k: draw.choice(v) for k, v in SPACE.items()}
-        scores = []
+        params, scores, last = propose(tried, draw), [], 1
         for fold in folds:
             train, val = fold_frames(df, fold)
-            made = Boosted.fit(train, features, rounds=rounds, **params).predict(val)
-            scores.append(ranking_metrics(made).first().pr_auc or 0.0)
+            m = Boosted.fit(train, features, rounds=rounds, val=val, **params)
+            last = best_rounds(m, val)
+            scores.append(ranking_metrics(m.predict(val)).first().pr_auc or 0.0)
         mean = sum(scores) / max(1, len(scores))
+        tried.append((params, mean))
         if mean > best[1]:
-            best = params, mean
+            best = params, mean, last
     return best
 
 
+def retrain(df: DataFrame, features: list[str], params: dict, best: int, low: int = 100, high: int = 6000) -> Boosted:
+    """The final model on all training rows, a little longer than the last fold's best."""
+    return Boosted.fit(df, features, rounds=final_rounds(best, low, high), **params)
+
+
 def best_rounds(model: Boosted, val: DataFrame) -> int:
     """The number of trees with the least validation loss."""
     x = _vectors(val, model.features).select("features", col("target").cast("double").alias("label"))
@@ -196,6 +231,21 @@ def final_rounds(best: int, low: int = 100, high: int = 6000) -> int:
     return max(low, min(high, math.ceil(1.1 * best)))
 
 
+def weekly_domain_weights(df: DataFrame, features: list[str], first_week: int, window: int = 6, week: str = "WEEK_NUM", cap: float = 0.99) -> DataFrame:
+    """df's rows under each target week (`wk`) that they calibrate, with `w`: how much likelier they are in that week.
+
+    A domain model is fitted for each week from the `window` weeks before it, one after the other.
+    """
+    out = None
+    for r in df.where(col(week) >= first_week).select(col(week).alias("wk")).distinct().orderBy("wk").collect():
+        cal = df.where(col(week).between(r.wk - window, r.wk - 1))
+        if cal.isEmpty():
+            continue
+        part = domain_weights(cal, df.where(col(week) == r.wk), features, cap).withColumn("wk", F.lit(r.wk))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.limit(0).withColumn("w", F.lit(0.0)).withColumn("wk", F.lit(0).cast("bigint"))
+
+
 def domain_weights(cal: DataFrame, target: DataFrame, features: list[str], cap: float = 0.99) -> DataFrame:
     """cal with `w`: how much likelier its rows are under target's distribution, by a logistic domain classifier."""
     rows = cal.select(*[col(f) for f in features]).withColumn("label", F.lit(0.0)).unionByName(target.select(*[col(f) for f in features]).withColumn("label", F.lit(1.0)))

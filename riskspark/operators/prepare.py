@@ -43,6 +43,13 @@ def fold_frames(df: DataFrame, fold: tuple[int, int, int], week: str = "WEEK_NUM
     return df.where((w >= start) & (w < val)), df.where(w.between(val, end))
 
 
+def inversions(df: DataFrame, position: str, column: str) -> DataFrame:
+    """(n): at how many of the consecutive positions the column is less than at the one before. Neighbours meet by an
+    equi-join on the position."""
+    before = df.select((col(position) + 1).alias("__p"), col(column).alias("__v"))
+    return df.select(col(position).alias("__p"), col(column).alias("__w")).join(before, "__p").agg(F.sum((F.col("__w") < F.col("__v")).cast("long")).alias("n"))
+
+
 @dataclass(frozen=True)
 class Pruner:
     """Fitted column pruning and winsorising."""

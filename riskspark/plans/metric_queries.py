@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskspark.functions.numeric import clip
 from riskspark.operators import business, calibrate, conformal, drift, join, metrics, model, select
 
-from .cases import CAPS, CASES, R, WEEKS, cases, lines, query, splits, table, tidy
+from .cases import CAPS, CASES, LINE_ORDER, R, WEEKS, cases, lines, query, splits, table, tidy
 
 BLOCK = 13
 _BLOCKED = f"{CASES}, blocks as (select *, week_num // {BLOCK} as block from cases)"
@@ -402,9 +402,23 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return tidy(select.correlation_matrix(lines(spark, d), _NUMBERS))
 
 
-@query()
+_AGGS = [f"{n}_{c}" for c in _NUMBERS for n in ("mean", "max", "last")]
+_ORDERED = "row(l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)"
+_AGG_SQL = ", ".join(f"{f} as \"{n}_{c}\"" for c, x in _SQLNUM.items() for n, f in (("mean", f"avg({x})"), ("max", f"max({x})"), ("last", f"arg_max_null({x}, {_ORDERED})")))
+_PREFER = lambda c: "case split_part({0}, '_', 1) when 'mean' then 1 when 'max' then 2 else 4 end".format(c)
+
+
+@query(
+    f"""with recursive x as (select l_orderkey, {_AGG_SQL} from lineitem group by 1), pairs as ({' union all '.join(f"select {j * 100 + i} as k, {i} as i, '{a}' as a, '{b}' as b, abs(corr(\"{a}\", \"{b}\")) > 0.8 as strong from x" for j, b in enumerate(_AGGS) for i, a in enumerate(_AGGS[:j]))}),
+ line as (select *, row_number() over (order by k) as pos from pairs),
+ st(pos, gone, off) as (select cast(0 as bigint), cast([] as varchar[]), false union all
+  select st.pos + 1, case when strong and not (case when i = 0 then list_contains(gone, b) else off end) and not list_contains(gone, a) then list_append(gone, case when {_PREFER('a')} > {_PREFER('b')} then a else b end) else gone end, case when i = 0 then list_contains(gone, b) else off end
+  from st join line on line.pos = st.pos + 1)
+ select f as feature, list_contains((select gone from st order by pos desc limit 1), f) as dropped from (select unnest({_AGGS}) as f)"""
+)
 def corr_filter(spark: SparkSession, d: str) -> DataFrame:
-    x = lines(spark, d).groupBy("case_id").agg(*[f(c).alias(f"{n}_{c}") for c in _NUMBERS for n, f in (("mean", F.avg), ("max", F.max), ("last", F.last))])
+    last = lambda c: F.max_by(c, F.struct(*[F.col(o) for o in LINE_ORDER]))
+    x = lines(spark, d).groupBy("case_id").agg(*[f(c).alias(f"{n}_{c}") for c in _NUMBERS for n, f in (("mean", F.avg), ("max", F.max), ("last", last))])
     kept, gone = select.correlation_filter(x, [c for c in x.columns if c != "case_id"])
     return spark.createDataFrame([(c, c in gone) for c in kept + gone], "feature string, dropped boolean")
 
@@ -429,7 +443,13 @@ def importance_points(spark: SparkSession, d: str) -> DataFrame:
     return tidy(select.curve_points(select.importance_curve(spark.sql(_GAIN.replace("from orders", "from __orders")))))
 
 
-@query()
+@query(
+    f"""with x as ({_GAIN}), c as (select cast(row_number() over (order by gain desc, feature) as double) r, gain / sum(gain) over () * 100 s from x),
+ n as (select *, (r - min(r) over ()) / (max(r) over () - min(r) over ()) as xs, (max(s) over () - s) / (max(s) over () - min(s) over ()) as ys, count(*) over () as n from c),
+ d as (select *, ys - xs as d, lag(ys - xs) over (order by r) as before, lead(ys - xs) over (order by r) as after from n),
+ m as (select r, d - 1e0 / (n - 1) as bar, coalesce(lead(r) over (order by r), 1e9) as until from d where d > before and d >= after),
+ k as (select m.r from m where exists (select 1 from d where d.r > m.r and d.r < m.until and d.d < m.bar)) select min(r) as knee from k"""
+)
 def importance_knee(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "orders").createOrReplaceTempView("__orders")
     rows = select.importance_curve(spark.sql(_GAIN.replace("from orders", "from __orders"))).orderBy("rank").collect()
@@ -467,16 +487,32 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 _X = ["price", "quantity", "extprice", "lines", "signal"]
 
 
-@query()
+_Z = "ln(least(greatest(y_prob, 1e-6), 1 - 1e-6) / (1 - least(greatest(y_prob, 1e-6), 1 - 1e-6)))"
+
+
+@query(
+    f"""with recursive {CASES}, v as (select {_Z} as z, cast(target as double) as t from val),
+ it(k, a, b) as (select 0, 0e0, 0e0 union all select k + 1, a - (sbb * ga - sab * gb) / (saa * sbb - sab * sab), b - (saa * gb - sab * ga) / (saa * sbb - sab * sab)
+  from (select k, a, b, sum((q - t) * z) + a as ga, sum(q - t) as gb, sum(q * (1 - q) * z * z) + 1 as saa, sum(q * (1 - q) * z) as sab, sum(q * (1 - q)) as sbb from (select k, a, b, z, t, 1 / (1 + exp(-(a * z + b))) as q from it, v where k < 12) group by k, a, b)),
+ f as (select a, b from it where k = 12) select case_id, cast(target as bigint) as target, {R('y_prob')} as y_prob, {R(f'1 / (1 + exp(-({_Z} * a + b)))')} as y_prob_cal from test, f"""
+)
 def platt_calibrate(spark: SparkSession, d: str) -> DataFrame:
     _, val, test = splits(spark, d)
-    return calibrate.Platt.fit(val).transform(test).select("case_id", "target", "y_prob", "y_prob_cal")
+    return tidy(calibrate.Platt.fit(val).transform(test).select("case_id", "target", "y_prob", "y_prob_cal"))
 
 
-@query()
+#: The isotonic value of a point is the greatest, over starts at or before it, of the least mean up to an end at or after it.
+@query(
+    f"""with {CASES}, g as (select y_prob x, count(*)::double w, sum(target)::double s from val group by 1), c as (select x, row_number() over (order by x) i, w, s, sum(w) over (order by x) cw, sum(s) over (order by x) cs from g),
+ m as (select a.i as a, b.i as b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) as v from c a join c b on b.i >= a.i), l as (select a, b, min(v) over (partition by a order by b desc) as v from m),
+ f as (select i, x, (select max(v) from l where l.b = c.i) as y from c), s as (select x, y, lead(x, 1, x) over (order by x) as x2, lead(y, 1, y) over (order by x) as y2 from f),
+ lim as (select min(x) as lo, max(x) as hi, arg_min(y, x) as ylo, arg_max(y, x) as yhi from f)
+ select case_id, cast(target as bigint) as target, {R('t.y_prob')} as y_prob, {R('case when t.y_prob <= lo then ylo when t.y_prob >= hi then yhi when x2 = x then y else y + (y2 - y) * (t.y_prob - x) / (x2 - x) end')} as y_prob_cal
+ from test t asof left join s on t.y_prob >= s.x, lim"""
+)
 def isotonic_calibrate(spark: SparkSession, d: str) -> DataFrame:
     _, val, test = splits(spark, d)
-    return calibrate.Isotonic.fit(val).transform(test).select("case_id", "target", "y_prob", "y_prob_cal")
+    return tidy(calibrate.Isotonic.fit(val).transform(test).select("case_id", "target", "y_prob", "y_prob_cal"))
 
 
 def _boosted(spark: SparkSession, d: str) -> tuple[model.Boosted, DataFrame]:
@@ -518,8 +554,8 @@ def shap_dependence(spark: SparkSession, d: str) -> DataFrame:
 def hyper_search(spark: SparkSession, d: str) -> DataFrame:
     from riskspark.operators.prepare import expanding_folds
 
-    best, score = model.search(_features(spark, d), _X, expanding_folds(0, WEEKS.train_end, folds=2, span=20), trials=2, rounds=3)
-    return spark.createDataFrame([(str(sorted(best.items())), score)], "params string, mean_ap double")
+    best, score, rounds = model.search(_features(spark, d), _X, expanding_folds(0, WEEKS.train_end, folds=2, span=20), trials=2, rounds=3)
+    return spark.createDataFrame([(str(sorted(best.items())), score, rounds, model.final_rounds(rounds))], "params string, mean_ap double, best_rounds long, final_rounds long")
 
 
 @query()
@@ -556,13 +592,35 @@ def valid_predictions(spark: SparkSession, d: str) -> DataFrame:
     return tidy(metrics.valid_predictions(x, ["case_id", "WEEK_NUM"]))
 
 
-@query()
+def _weighted_q(source: str, keys: str, by: str) -> str:
+    """CTE `wq`: by keys and class, the least score at which the running weight reaches its share."""
+    return f"""ws as (select {keys}, target as y, {_LL} as s, sum(w) as w from {source} group by all), wc as (select {keys}, y, s, sum(w) over (partition by {keys}, y order by s) cw, sum(w) over (partition by {keys}, y) tw from ws),
+ wq as (select {keys}, min(s) filter (y = 0 and cw >= {_A} * tw) a0, min(s) filter (y = 1 and cw >= {_A} * tw) a1 from wc group by all)"""
+
+
+_WPAIRS = f"tg as (select distinct block as wk from blocks where block >= {_FIRST}), cal as (select wk, target, y_prob, {_WEIGHT} as w from blocks, tg where block between wk - 6 and wk - 1)"
+
+
+@query(
+    f"""with {_BLOCKED}, {_WPAIRS}, {_GLOBAL}, {_weighted_q('cal', 'wk', 'wk')}, q as (select wk, count(*) filter (target = 0) n0, count(*) filter (target = 1) n1 from cal group by 1),
+ p as (select q.wk, case when n0 < 20 then g0 else a0 end q0, case when n1 < 20 then g1 else a1 end q1, cast(n0 < 20 as integer) f0, cast(n1 < 20 as integer) f1 from q join wq on wq.wk = q.wk, gl),
+ x as (select *, {_LL0} <= q0 as i0, {_LL1} <= q1 as i1 from blocks join p on wk = block), y as (select *, {_SETS} from x)
+ select block, {R('max(q0)')} as q0, {R('max(q1)')} as q1, cast(max(f0) as bigint) as fallback_q0, cast(max(f1) as bigint) as fallback_q1, {_COVER} from y group by 1"""
+)
 def conformal_mondrian_weighted(spark: SparkSession, d: str) -> DataFrame:
     x, val = _rolling(spark, d)
     return tidy(conformal.rolling_mondrian(x.withColumn("w", 1 + F.col("case_id") % 7), val, _FIRST, weight="w", week="block"))
 
 
-@query()
+@query(
+    f"""with {_BLOCKED}, {_WPAIRS}, {_GLOBAL}, ed as (select wk, quantile_cont(y_prob, {_qs(5)}) e from cal group by 1), cb as (select cal.wk, target, y_prob, w, len(list_filter(e, lambda t: t < y_prob)) bin from cal join ed on ed.wk = cal.wk), {_weighted_q('cb', 'wk, bin', 'wk')},
+ q as (select wk, bin, count(*) n, count(*) filter (target = 0) n0, count(*) filter (target = 1) n1 from cb group by 1, 2), s as (select wk, unnest(range(0, 5)) bin from ed),
+ f as (select s.wk, s.bin, coalesce(n, 0) < 200 thin, n0 < 20 t0, n1 < 20 t1, a0, a1, g0, g1 from s left join q on q.wk = s.wk and q.bin = s.bin left join wq on wq.wk = s.wk and wq.bin = s.bin, gl),
+ p as (select wk, bin, thin, not thin and t0 as f0, not thin and t1 as f1, case when thin or t0 then g0 else a0 end q0, case when thin or t1 then g1 else a1 end q1 from f),
+ fr as (select wk, avg(cast(thin as integer)) fb, avg(cast(f0 as integer)) r0, avg(cast(f1 as integer)) r1 from p group by 1),
+ tb as (select blocks.*, wk, len(list_filter(e, lambda t: t < y_prob)) bin from blocks join ed on wk = block), x as (select tb.*, {_LL0} <= q0 as i0, {_LL1} <= q1 as i1 from tb join p on p.wk = tb.wk and p.bin = tb.bin), y as (select *, {_SETS} from x)
+ select block, {_COVER}, {R('max(fb)')} as fallback_bin_rate, {R('max(r0)')} as fallback0_rate, {R('max(r1)')} as fallback1_rate from y join fr on fr.wk = block group by 1"""
+)
 def conformal_binned_weighted(spark: SparkSession, d: str) -> DataFrame:
     x, val = _rolling(spark, d)
     return tidy(conformal.rolling_binned(x.withColumn("w", 1 + F.col("case_id") % 7), val, _FIRST, weight="w", week="block"))
@@ -592,7 +650,15 @@ def category_codes(spark: SparkSession, d: str) -> DataFrame:
     return model.category_codes(a, table(spark, d, "orders").select(F.col("o_orderstatus").alias("x")), "x")
 
 
-@query()
+def _qcut_iv(x: str) -> str:
+    return f"""(with r as (select target, row_number() over (order by {x}, case_id) as r, count(*) over () as n from train), b as (select target, len(list_filter([1 + (n - 1) * (i / 10e0) for i in range(1, 10)], lambda t: t < r)) as bin from r),
+ c as (select bin, sum(target) bad, sum(1 - target) good from b group by 1), p as (select bad / sum(bad) over ()::double b, good / sum(good) over ()::double g from c) select sum((b - g) * ln((b + 1e-6) / (g + 1e-6))) from p)"""
+
+
+_LEVEL_IV = "(with c as (select weekday_decision, sum(target) bad, sum(1 - target) good from train group by 1), p as (select bad / sum(bad) over ()::double b, good / sum(good) over ()::double g from c) select sum((b - g) * ln((b + 1e-6) / (g + 1e-6))) from p)"
+
+
+@query(f"with {CASES}, v as (select 'price_1A' as feature, {_qcut_iv('price_1a')} as iv union all select 'y_prob', {_qcut_iv('y_prob')} union all select 'weekday_decision', {_LEVEL_IV}) select feature, {R('iv')} as iv from v where iv >= 0.005")
 def iv_filter(spark: SparkSession, d: str) -> DataFrame:
     found = drift.iv_filter(splits(spark, d)[0], ["price_1A", "y_prob", "weekday_decision"], ["case_id"])
-    return spark.createDataFrame(sorted(found.items()), "feature string, iv double")
+    return tidy(spark.createDataFrame(sorted(found.items()), "feature string, iv double"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metric_queries, table_queries  # noqa: F401  they register their queries
+from . import metric_queries, rule_queries, table_queries  # noqa: F401  they register their queries
 from .cases import ORACLES, QUERIES
 
 

@@ -150,11 +150,6 @@ def winsor_bounds(spark: SparkSession, d: str) -> DataFrame:
     return tidy(spark.createDataFrame(sorted(p.high.items()), "feature string, high double"))
 
 
-@query("select cast(sum(cast(l_shipdate is null as integer)) as bigint) as nulls, count(distinct l_returnflag) as flags, count(distinct l_partkey) as parts from lineitem")
-def hard_filter_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.sum(F.col("l_shipdate").isNull().cast("long")).alias("nulls"), F.count_distinct("l_returnflag").alias("flags"), F.count_distinct("l_partkey").alias("parts"))
-
-
 @query(f"with {CASES} select case when week_num <= 257 then 'train' when week_num <= 279 then 'val' else 'test' end as split, count(*) as n, cast(sum(target) as bigint) as bad from cases group by 1")
 def time_split_counts(spark: SparkSession, d: str) -> DataFrame:
     parts = [x.agg(F.lit(n).alias("split"), F.count("*").alias("n"), F.sum("target").alias("bad")) for n, x in prepare.time_split(cases(spark, d), WEEKS).items()]
@@ -205,6 +200,15 @@ def target_encode_causal(spark: SparkSession, d: str) -> DataFrame:
     return _te(spark, d, "train", None)
 
 
+@query(_te_sql("train", "val"))
+def target_encode_carried(spark: SparkSession, d: str) -> DataFrame:
+    """As target_encode_validation, from the state kept of the training rows in place of the rows."""
+    s, order = prepare.time_split(cases(spark, d), WEEKS), ["WEEK_NUM", "weekday_decision", "case_id"]
+    mean = s["train"].agg(F.avg("target")).first()[0]
+    made = prepare.running_target_encode(s["val"], None, "priority_1M", order, prior=mean, state=prepare.encoder_state(s["train"], "priority_1M", order))
+    return tidy(made.select("case_id", F.col("priority_1M_te").alias("priority_te"), F.col("priority_1M_trend").alias("priority_trend")))
+
+
 @query(_te_sql("train", "val"))
 def target_encode_validation(spark: SparkSession, d: str) -> DataFrame:
     return _te(spark, d, "val", "train")

@@ -55,6 +55,39 @@ def write_csv(df: DataFrame, path: str, significant: int | None = None) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_excel(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A report table as one sheet of an .xlsx file on the driver's disk; raises beyond `most` rows."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write CSV or Parquet")
+
+    def cell(v: object) -> str:
+        if v is None or v != v:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *rows])
+    office, package = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    main, kind = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    link = lambda to, what: f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/{what}" Target="{to}"/></Relationships>'
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": link("xl/workbook.xml", "officeDocument"),
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": link("worksheets/sheet1.xml", "worksheet"),
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{text}')
+
+
 def write_text(spark: SparkSession, lines: list[str], path: str) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -274,3 +274,58 @@ def test_encoding_from_a_kept_state(spark):
             assert want[i] == pytest.approx((te, np.mean(h[-100:]) - te if len(h) >= 50 else 0.0))
         if y is not None:
             h.append(y)
+
+
+def test_excel(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    path = str(tmp_path / "report.xlsx")
+    files.write_excel(spark.createDataFrame([("a & <b>", 1, 2.5), (None, 2, float("nan"))], "name string, n int, x double"), path)
+    with zipfile.ZipFile(path) as z:
+        for n in z.namelist():
+            ET.fromstring(z.read(n))
+        sheet = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    cells = [["".join(c.itertext()) for c in r] for r in sheet.iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}row")]
+    assert cells == [["name", "n", "x"], ["a & <b>", "1", "2.5"], ["", "2", ""]]
+    with pytest.raises(ValueError):
+        files.write_excel(spark.range(5), path, most=3)
+
+
+def test_trials_lean_on_good_ones():
+    draw, tried = random.Random(0), []
+    for _ in range(150):
+        p = model.propose(tried, draw)
+        tried.append((p, -abs(p["depth"] - 5) - 10 * abs(p["rate"] - 0.05)))
+    late = [p for p, _ in tried[100:]]
+    assert sum(p["depth"] == 5 and p["rate"] == 0.05 for p in late) > 25
+    assert model.propose([], draw).keys() == model.SPACE.keys()
+
+
+def test_contributions_add_up(spark):
+    r = random.Random(6)
+    rows = [(i, 0, int(r.random() < 0.3 + 0.4 * (i % 3 == 0)), float(i % 3), r.random(), float(i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "case_id long, WEEK_NUM long, target int, a double, b double, c double")
+    m = model.Boosted.fit(df, ["a", "b", "c"], rounds=3, depth=5)
+    phi = {x.case_id: x.a + x.b + x.c for x in m.contributions(df).collect()}
+    margin = {x.case_id: math.log(x.y_prob / (1 - x.y_prob)) / 2 for x in m.predict(df).collect()}
+    gaps = [margin[i] - phi[i] for i in phi]
+    assert max(gaps) - min(gaps) < 1e-9  # what is left is the mean margin, the same for all
+
+
+def test_weekly_domain_weights(spark):
+    r = random.Random(1)
+    rows = [(i, i // 100, r.gauss((i // 100) * 0.3, 1.0)) for i in range(800)]
+    df = spark.createDataFrame(rows, "case_id long, WEEK_NUM long, x double")
+    w = model.weekly_domain_weights(df, ["x"], 6, window=3)
+    found = w.groupBy("wk").agg(F.count("*").alias("n"), F.corr("x", "w").alias("c")).collect()
+    assert {x.wk: x.n for x in found} == {6: 300, 7: 300} and all(x.c > 0.5 for x in found)
+
+
+def test_unknown_types_raise(spark):
+    with pytest.raises(ValueError):
+        schema.normalise(spark.sql("select current_timestamp() as t"))
+    with pytest.raises(ValueError):
+        from riskspark.operators import join
+
+        join.positional_join(spark.range(3), spark.range(4).toDF("b"), ["id"], ["b"])

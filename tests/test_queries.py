@@ -46,6 +46,6 @@ def test_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["corr_filter", "importance_knee", "platt_calibrate", "isotonic_calibrate", "gbt_predict", "density_ratio_weights"])
+@pytest.mark.parametrize("name", ["gbt_predict", "density_ratio_weights", "gain_shap_selector", "hyper_search"])
 def test_rows_only(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
