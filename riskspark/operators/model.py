@@ -222,7 +222,7 @@ def retrain(df: DataFrame, features: list[str], params: dict, best: int, low: in
 
 def best_rounds(model: Boosted, val: DataFrame) -> int:
     """The number of trees with the least validation loss."""
-    x = _vectors(val, model.features).select("features", col("target").cast("double").alias("label"))
+    x = _vectors(val, model.features).select("features", col("target").cast("double").alias("label"), F.lit(1.0).alias("w"))
     losses = model.model.evaluateEachIteration(x)
     return int(np.argmin(losses)) + 1
 
