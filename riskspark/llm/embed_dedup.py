@@ -15,31 +15,47 @@ from .components import connected_components
 from .shared import stored
 from .vectors import matrix, unit, unusable, usable
 
-#: Reference points, how many of the nearest describe a vector, and how many of them two vectors must share. A pair of
-#: shared pivots names an inverted list.
-PIVOTS, PREFIX, SHARED = 64, 7, 2
+#: Reference points at least and at most, how many of the nearest describe a vector, and how many of them two vectors
+#: must share. A pair of shared pivots names an inverted list.
+PIVOTS, MOST, PREFIX, SHARED = 64, 4096, 7, 2
+#: Reference points are no nearer to each other than this cosine, so that a crowd of near copies takes one of them.
+SPREAD = 0.9
 COSINE = 0.95
-#: Vectors of one list that are compared as one block.
+#: Vectors of one list that are compared as one block; the number of pivots is such that a usual list is about one.
 BLOCK = 1024
 
 
-def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """By dimension, at most PIVOTS vectors: those with the least hash. They depend on the set of vectors alone."""
+def pivots_for(vectors: int) -> int:
+    """So many pivots that a pair of them lists about BLOCK vectors: their number grows with the root of the rows, and the
+    comparisons in proportion to the rows, up to MOST pivots (about 400 million vectors). Beyond, lists grow."""
+    return int(min(MOST, max(PIVOTS, np.ceil(np.sqrt(PREFIX * (PREFIX - 1) * vectors / BLOCK)))))
+
+
+def choose_pivots(classes: DataFrame, number: int | None = None) -> dict[int, np.ndarray]:
+    """By dimension, at most `number` vectors: of the 4 x number with the least hash those that keep SPREAD, taken in
+    turn, then the others. They depend on the set of vectors alone."""
     rows = classes.select("dim", "v", F.xxhash64("v").alias("h"))
-    dims = [r.dim for r in rows.select("dim").distinct().orderBy("dim").limit(64).collect()]
+    sizes = rows.groupBy("dim").count().orderBy("dim").limit(64).collect()
     found = {}
-    for d in dims:
-        top = rows.where(F.col("dim") == d).orderBy("h", "v").limit(PIVOTS).collect()
-        found[d] = unit(np.array([r.v for r in top], "f8"))
+    for d, n in ((r["dim"], r["count"]) for r in sizes):
+        want = number or pivots_for(n)
+        x = unit(np.array([r.v for r in rows.where(F.col("dim") == d).orderBy("h", "v").limit(4 * want).collect()], "f8"))
+        nearest, chosen = np.full(len(x), -1.0), []
+        for i in range(len(x)):
+            if nearest[i] < SPREAD:
+                chosen.append(i)
+                nearest = np.maximum(nearest, x @ x[i])
+                if len(chosen) == want:
+                    break
+        rest = np.setdiff1d(np.arange(len(x)), chosen)[: want - len(chosen)]
+        found[d] = x[[*chosen, *rest.tolist()]]
     return found
 
 
 def describe(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """classes (rep, n, v, dim) with each vector's pivots as a bit mask and the inverted lists it is filed under.
-
-    A list is a pair of its PREFIX nearest pivots; two vectors meet in some list exactly if they share two pivots.
-    """
-    schema = "rep long, n long, dim int, mask long, v binary, list int"
+    """classes (rep, n, v, dim) with each vector's PREFIX nearest pivots (`near`, nearest first) and the inverted lists it
+    is filed under: the pairs of these. Two vectors meet in some list exactly if they share two pivots."""
+    schema = "rep long, n long, dim int, near array<int>, v binary, list long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,20 +68,33 @@ def describe(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 if p is None:  # a length beyond the first 64: one pivot, one list
                     p = np.ones((1, int(d)))
                 near = np.argsort(-(unit(x) @ p.T), axis=1, kind="stable")[:, :PREFIX].astype(np.int64)
-                mask = np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64), axis=1).view(np.int64)
-                near.sort(axis=1)
-                pairs = list(combinations(range(near.shape[1]), SHARED)) or [(0, 0)]
-                lists = np.stack([near[:, i] * 64 + near[:, j] for i, j in pairs], 1)
+                low = np.sort(near, axis=1)
+                pairs = list(combinations(range(low.shape[1]), SHARED)) or [(0, 0)]
+                lists = np.stack([low[:, i] * MOST + low[:, j] for i, j in pairs], 1)
                 k = lists.shape[1]
+                own = near.astype(np.int32).tolist()
                 raw = [r.tobytes() for r in x]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(rep[at], k)), pa.array(np.repeat(n[at], k)), pa.array(np.full(len(at) * k, d, np.int32)), pa.array(np.repeat(mask, k)), pa.array([r for r in raw for _ in range(k)], pa.binary()), pa.array(lists.ravel().astype(np.int32))],
-                    ["rep", "n", "dim", "mask", "v", "list"],
+                    [pa.array(np.repeat(rep[at], k)), pa.array(np.repeat(n[at], k)), pa.array(np.full(len(at) * k, d, np.int32)), pa.array([o for o in own for _ in range(k)], pa.list_(pa.int32())), pa.array([r for r in raw for _ in range(k)], pa.binary()), pa.array(lists.ravel())],
+                    ["rep", "n", "dim", "near", "v", "list"],
                 )
 
     return classes.select("rep", "n", "v", "dim").mapInArrow(run, schema)
 
 
+def _first_list(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of two sets of pivots, each ascending: the list of the two lowest that they share (of one, if they have no
+    more); -1 where fewer than SHARED are shared."""
+    both = (a[:, :, None] == b[:, None, :]).any(2)
+    count = both.sum(1)
+    rows = np.arange(len(a))
+    first = both.argmax(1)
+    rest = both.copy()
+    rest[rows, first] = False
+    second = np.where(count > 1, rest.argmax(1), first)
+    return np.where(count >= min(SHARED, a.shape[1]), a[rows, first] * MOST + a[rows, second], -1)
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of a pair of blocks of one list: the weights that each vector gains, and a spanning forest of them.
 
@@ -79,7 +108,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     if len(left) and len(right):
         x, y = unit(matrix(left.v, dim)), unit(matrix(right.v, dim))
         lr, rr = left.rep.to_numpy(), right.rep.to_numpy()
-        lm, rm = left["mask"].to_numpy().view(np.uint64), right["mask"].to_numpy().view(np.uint64)
+        lm, rm = (np.sort(np.stack(part.near.to_list()).astype(np.int64), axis=1) for part in (left, right))
         gain_l, gain_r = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
         ln, rn = left.n.to_numpy(np.int64), right.n.to_numpy(np.int64)
         parent = {int(r): int(r) for r in (*lr, *rr)}
@@ -90,19 +119,15 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
                 k = parent[k]
             return k
 
-        one = np.uint64(1)
         for lo in range(0, len(left), 512):
             near = x[lo : lo + 512] @ y.T >= COSINE
             p, q = np.nonzero(near)
             p = p + lo
             if i == j:
                 p, q = p[p < q], q[p < q]
-            m = lm[p] & rm[q]
-            rest = m & (m - one)
-            first = np.bitwise_count((m & (~m + one)) - one).astype(np.int64)
-            second = np.where(rest == 0, first, np.bitwise_count((rest & (~rest + one)) - one).astype(np.int64))
-            ok = first * 64 + second == own
-            p, q = p[ok], q[ok]
+            if len(p):
+                ok = np.concatenate([_first_list(lm[p[k : k + 65536]], rm[q[k : k + 65536]]) == own for k in range(0, len(p), 65536)])
+                p, q = p[ok], q[ok]
             np.add.at(gain_l, p, rn[q])
             np.add.at(gain_r, q, ln[p])
             for a, b in zip(lr[p].tolist(), rr[q].tolist()):
@@ -132,10 +157,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = stored(rows.groupBy("v", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     pivots = choose_pivots(classes)
     filed = stored(describe(classes, pivots), "filed")
-    sizes = F.broadcast(filed.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("nb > 0"))  # a row for each pair of pivots
-    blocks = filed.join(sizes, ["dim", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    long_ = filed.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")).where("nb > 1")
+    blocks = filed.join(long_, ["dim", "list"], "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("bi"), F.greatest(F.col("block"), k).alias("bj")))
-    dealt = blocks.withColumn("o", F.explode(other)).select("dim", "list", "o.bi", "o.bj", "block", "rep", "n", "mask", "v")
+    dealt = blocks.withColumn("o", F.explode(other)).select("dim", "list", "o.bi", "o.bj", "block", "rep", "n", "near", "v")
     found = stored(dealt.groupBy("dim", "list", "bi", "bj").applyInPandas(_compare, "a long, b long, w long"), "links")
     degree = found.where("w > 0").groupBy("a").agg(F.sum("w").alias("w"))
     parts = connected_components(found.where("w = 0").select("a", "b"))

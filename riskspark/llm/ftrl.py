@@ -53,7 +53,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, p: Ftrl) ->
 def train(features: DataFrame, size: int, p: Ftrl) -> Linear:
     """features (place long, at array<int>, value array<float>, y double): a bounded sample. One task learns from it.
 
-    Rows are taken by place, so the result does not depend on how they are stored. No rows give weights of zero.
+    Rows are taken by place, of which each has its own, so the result does not depend on how they are stored. No rows
+    give weights of zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

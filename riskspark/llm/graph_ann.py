@@ -15,8 +15,9 @@ from .vectors import matrix, usable
 
 #: Rows of a shard, about; out-degree; beam while building and while searching; the relaxation of pruning.
 SHARD, DEGREE, BUILD, BEAM, ALPHA = 4096, 32, 64, 160, 1.2
-#: Queries searched together; neighbours asked for.
-BLOCK, NEAREST = 512, 10
+#: Queries that travel to a shard together (a shard's graph is read once for each such set), those searched together, and
+#: neighbours asked for.
+SET, BLOCK, NEAREST = 4096, 512, 10
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(at, kind="stable")  # ids ascend within a node
             first = np.searchsorted(at[order], np.arange(len(x) + 1))
             qid, q = np.frombuffer(r["qid"], "<i8"), np.frombuffer(r["q"], "<f8").reshape(-1, dim)
-            near, dist = beam_search(x, graph, r["start"], q, BEAM)
+            parts = [beam_search(x, graph, r["start"], q[lo : lo + BLOCK], BEAM) for lo in range(0, len(q), BLOCK)]
+            near, dist = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             out = {"query_id": [], "vec_id": [], "score": []}
             for i in range(len(q)):
                 nodes = near[i][np.argsort(dist[i], kind="stable")][: 2 * NEAREST + 1]
@@ -197,7 +199,8 @@ def nearest(vectors: DataFrame, every: int = 100) -> DataFrame:
     vectors as they are, ties to the smaller vec_id. Rows are dealt to shards of about 4096 by the id's hash, so equal
     vectors spread out; every shard gets a graph and every block of queries searches every shard of its length. Fewer
     than 10 others give fewer rows. Vectors that are null, zero or hold null or non-finite components take no part, nor
-    do null ids; a repeated row is one more candidate.
+    do null ids. Of several rows of a query's id the shortest, then least vector asks, and none of them is its
+    neighbour; other repeated rows are one more candidate each.
     """
     rows = usable(vectors)
     total = rows.count()
@@ -206,8 +209,8 @@ def nearest(vectors: DataFrame, every: int = 100) -> DataFrame:
     shards = -(-total // SHARD)
     plain = stored(_as_bytes(rows), "vectors")
     graphs = stored(index(plain, shards), "graphs")
-    asked = plain.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // BLOCK))
+    asked = plain.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.v", "q.dim")
+    blocks = max(1, -(-asked.count() // SET))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "qid": [pdf.vec_id.to_numpy("<i8").tobytes()], "q": [b"".join(pdf.v)]})

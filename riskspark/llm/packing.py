@@ -73,22 +73,24 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of docs (doc_id, text): whole documents, longer ones cut."""
+    """(doc_id, piece, start, length, ids_crc32, salt) of docs (doc_id, text): whole documents, longer ones cut. salt is
+    the row's place in its task, which tells repeated rows apart."""
     width = capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder, row = encoder(tokenizer), 0
         for batch in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
+            doc, piece, start, length, crc, salt = [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row += 1
                 ids = coder.encode(t.as_py() or b"") + END
                 for k, lo in enumerate(range(0, len(ids), width)):
                     cut = ids[lo : lo + width]
-                    doc.append(i), piece.append(k), start.append(lo // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    doc.append(i), piece.append(k), start.append(lo // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut)), salt.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -133,14 +135,14 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return place, offset
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean, bound long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, loose boolean, bound long"
 
 
 def _pack(items: DataFrame, rows: int, turn: int, capacity: int) -> DataFrame:
     parts = max(1, -(-rows // PART))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32", "salt"], ignore_index=True)
         sizes = pdf.length.to_numpy(np.int64)
         bound = lower_bound(sizes, capacity)
         place, offset = best_fit_decreasing(sizes, capacity)
@@ -154,7 +156,7 @@ def _pack(items: DataFrame, rows: int, turn: int, capacity: int) -> DataFrame:
         out = pdf.drop(columns="part")
         return out.assign(sequence_id=base + place, offset=offset, loose=loose[place], bound=np.int64(bound))
 
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)).cast("int"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt", F.lit(turn)), F.lit(parts)).cast("int"))
     return dealt.groupBy("part").applyInPandas(run, _PACKED)
 
 
@@ -169,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """
     cut = stored(pieces(only(docs, "doc_id", "text"), tokenizer, capacity), "pieces")
     held, todo, rows = None, cut, cut.count()
-    names = [*cut.columns, "sequence_id", "offset"]
+    names = [*[c for c in cut.columns if c != "salt"], "sequence_id", "offset"]
     for turn in range(ROUNDS + 1):
         done = stored(_pack(todo, rows, turn, capacity), "packed")
         if turn:

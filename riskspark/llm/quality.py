@@ -53,7 +53,7 @@ class Words:
             text = w.decode(errors="replace")
             self.place[w] = i
             self.table[0, i] = xxhash.xxh64_intdigest(text.lower())
-            self.table[1, i] = xxhash.xxh64_intdigest(shape(text[:64]), 1)
+            self.table[1, i] = xxhash.xxh64_intdigest(shape(text), 1)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         missing = set(words).difference(self.place)
@@ -84,7 +84,8 @@ def features(text: bytes, words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, params: ftrl.Ftrl = ftrl.Ftrl(alpha=2.0, l1=0.01, epochs=3)) -> ftrl.Linear:
-    """A model of labels (doc_id, quality) on at most `bound` rows outside the held-out fold, repeated docs once."""
+    """A model of labels (doc_id, quality) on at most `bound` documents outside the held-out fold. A doc_id that
+    comes in several rows counts once, with its least text, so neither copies nor the rows' order change the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -94,13 +95,14 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, params: ftr
 
     chosen = F.broadcast(stored(ftrl.sample(labels, "quality", bound), "quality-labels"))  # `bound` rows of three numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).join(chosen, "doc_id")
-    made = rows.select("place", "y", "text").mapInArrow(run, "place long, at array<int>, value array<float>, y double")
+    made = rows.groupBy("doc_id", "place", "y").agg(F.min("text").alias("text")).select("place", "y", "text").mapInArrow(run, "place long, at array<int>, value array<float>, y double")
     return ftrl.train(made, 1 << BITS, params)
 
 
-def score(docs: DataFrame, model: ftrl.Linear) -> DataFrame:
-    """docs with `score`, the likelihood of label 1, from the text alone; null texts count as empty. Columns stay."""
-    names = [*docs.columns, "score"]
+def score(docs: DataFrame, model: ftrl.Linear, name: str = "score") -> DataFrame:
+    """docs with `name`, the likelihood of label 1, from the text alone; null texts count as empty. Columns stay; name is
+    none of theirs."""
+    names = [*docs.columns, name]
     weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def score(docs: DataFrame, model: ftrl.Linear) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.float64())], names)
 
     source = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns])
-    return source.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stored
+from .shared import exists, only, stored
 
 #: The base rules in their order. A match is dropped unless its group has at least so many characters.
 BASE = (
@@ -110,27 +110,57 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
     A version is any row with a text (null: empty); its text's SHA-256 is its blob. A blob is scanned once for each rule
     version, whatever the number of rows, paths or times it comes; findings then go back to every row. Repeated rows
-    each return; all other columns stay.
+    each return; all other columns stay, but for earlier ones of the two names.
     """
     new = stored(scan_new(versions, ledger), "ledger")
     if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*new.columns))
+        new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*new.columns)).dropDuplicates(["blob_id"])
+    return _joined(versions, new)
+
+
+def _joined(versions: DataFrame, entries: DataFrame) -> DataFrame:
     rows = versions.withColumn("__blob", blob_id(F.col("text")))
-    sent = new.select(F.col("blob_id").alias("__blob"), "findings", "cuts")
-    return rows.join(sent, "__blob").drop("__blob")
+    sent = entries.select(F.col("blob_id").alias("__blob"), F.col("findings").alias("__findings"), F.col("cuts").alias("__cuts"))
+    kept = [F.col(f"`{c}`") for c in versions.columns if c not in ("findings", "cuts")]
+    return rows.join(sent, "__blob").select(*kept, F.col("__findings").alias("findings"), F.col("__cuts").alias("cuts"))
+
+
+def update_ledger(versions: DataFrame, path: str) -> DataFrame:
+    """The ledger at path (a Parquet folder, made if there is none) after the blobs that it lacks were scanned and added.
+
+    Only unseen (blob, rule version) pairs are scanned. A blob that two runs add at once, or a run that is repeated,
+    leaves equal entries, of which one is read.
+    """
+    spark = versions.sparkSession
+    old = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
+    scan_new(versions, old).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob_id", "rule_version"])
+
+
+def scan_with_ledger(versions: DataFrame, path: str) -> DataFrame:
+    """As scan(), by way of the persistent ledger at path, which gains what it lacked."""
+    return _joined(versions, update_ledger(versions, path).where(F.col("rule_version") == RULE_VERSION))
+
+
+def findings_by_path(versions: DataFrame, path: str, of: str = "path") -> DataFrame:
+    """(of, blob_id, kind, begin, end): every finding of the ledger at path, joined back to every path that holds its blob."""
+    rows = versions.select(F.col(f"`{of}`"), blob_id(F.col("text")).alias("blob_id")).distinct()
+    known = update_ledger(versions, path).where(F.col("rule_version") == RULE_VERSION).select("blob_id", F.explode("findings").alias("f"))
+    return rows.join(known, "blob_id").select(of, "blob_id", "f.kind", "f.begin", "f.end")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by a mark and n_chars brought up to date; columns and other texts stay."""
-    free = [c for c in docs.columns if c not in ("findings", "cuts")]
-    found = scan(docs.select(*[F.col(f"`{c}`") for c in free]))
+    free = docs.columns
+    own = {c: f"__own_{c}" for c in ("findings", "cuts") if c in free}  # columns of the user's under these names
+    found = scan(docs.withColumnsRenamed(own))
     begin = F.expr("transform(sequence(0, size(cuts)), i -> if(i = 0, 0L, cuts[i - 1].end))")
     parts = F.transform(begin, lambda a, i: F.substring(F.col("text"), (a + 1).cast("int"), F.coalesce(F.get("cuts", i)["begin"] - a, F.length("text")).cast("int")))
     text = F.when(F.size("cuts") > 0, F.array_join(parts, mark)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in free:
         out = out.withColumn("n_chars", F.when(F.size("cuts") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in free])
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in free])
 
 
 def digest(docs: DataFrame) -> DataFrame:

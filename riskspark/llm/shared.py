@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, read from spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) a local folder is made and set.
+    Only where none is named and the master is this machine itself (tests) a local folder is made and set; elsewhere each
+    executor would write to its own disk, so it raises.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="riskspark-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -34,12 +37,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table lies at path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+_written: list[str] = []
+
+
 class Stored:
     """A DataFrame written to the shared folder and read back: its lineage is cut and any executor can read it."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = shared_path(self.spark, name)
+        _written.append(self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -47,6 +60,14 @@ class Stored:
         remove(self.spark, self.path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes every intermediate table that this process has written, and says how many; for when results are written."""
+    n = len(_written)
+    while _written:
+        remove(spark, _written.pop())
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
