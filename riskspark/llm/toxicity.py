@@ -16,10 +16,11 @@ from . import ftrl
 from .shared import held_out, only, stored
 
 BITS = 20
-#: At most so many labelled rows are mined for voters, and so many rows (labelled or not) train the classifier.
-LABELLED, TRAINED = 20_000, 20_000
+#: At most so many labelled documents are mined for voters and anchor the label model, and so many unlabelled ones join
+#: them there and in training the classifier.
+LABELLED, UNLABELLED = 20_000, 20_000
 #: What a lexicon voter's word or stem must reach among the labelled documents; at most so many voters are kept.
-SUPPORT, RATIO, SIGMA, VOTERS = 4, 20.0, 6.5, 400
+SUPPORT, RATIO, SIGMA, VOTERS = 3, 15.0, 5.0, 600
 CUT = 0.5
 #: Patterns whose voters do not depend on any lexicon.
 PATTERNS = (
@@ -91,10 +92,11 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, voters: list[str], known: np.ndarray, prior: float, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation over votes (documents x voters). known: a label, or nan; a label holds its posterior.
+    """Expectation maximisation over votes (documents x voters). known: a label, or nan; a label anchors its posterior.
 
-    Correlations: given the posteriors, the residuals' correlations between voters are taken, and a voter's evidence is
-    divided by one plus the sum of its squares with the others, so that echoes of one source count about once.
+    Correlations are estimated with the accuracies, in the maximisation steps: given the posteriors, the residuals'
+    correlations between voters, and from them the share of each voter's evidence that is its own (it is divided by one
+    plus the sum of their squares), so that echoes of one source count about once in the next expectation.
     """
     n, m = votes.shape
     has = ~np.isnan(known)
@@ -104,10 +106,16 @@ def fit_label_model(votes: np.ndarray, voters: list[str], known: np.ndarray, pri
         w1, w0 = q.sum(), (1 - q).sum()
         hit = np.clip((q @ votes + 0.5) / (w1 + 1), 1e-4, 1 - 1e-4)
         miss = np.clip(((1 - q) @ votes + 0.05) / (w0 + 1), 1e-6, 1 - 1e-4)
-        if turn in (3, 10) and n > 2:
-            rest = votes - np.outer(q, hit) - np.outer(1 - q, miss)
-            sd = rest.std(0) + 1e-9
-            corr = (rest - rest.mean(0)).T @ (rest - rest.mean(0)) / n / np.outer(sd, sd)
+        if turn % 3 == 2 and n > 2:
+            products, total = np.zeros((m, m)), np.zeros(m)
+            for lo in range(0, n, 4096):
+                part = q[lo : lo + 4096]
+                rest = votes[lo : lo + 4096] - np.outer(part, hit) - np.outer(1 - part, miss)
+                products += rest.T @ rest
+                total += rest.sum(0)
+            cov = products / n - np.outer(total, total) / n**2
+            sd = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+            corr = cov / np.outer(sd, sd)
             np.fill_diagonal(corr, 0)
             share = 1 / (1 + (corr**2).sum(0))
         model = LabelModel(voters, float(np.clip(w1 / max(1, n), 1e-4, 1 - 1e-4)), hit, miss, share)
@@ -118,6 +126,12 @@ def fit_label_model(votes: np.ndarray, voters: list[str], known: np.ndarray, pri
     return model
 
 
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen with `text`: each doc_id's, the least where it comes in several rows, so that copies of a row count once."""
+    names = chosen.columns
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy(*names).agg(F.min("text").alias("text"))  # a bounded number of ids
+
+
 def mine_voters(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], float]:
     """Words and stems that speak for the label: those in SUPPORT toxic documents or more, at least RATIO times as
     likely in toxic ones after smoothing, and SIGMA deviations beyond chance. At most VOTERS, the strongest first. Also
@@ -137,7 +151,7 @@ def mine_voters(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], float]:
     n, n1 = total[0], float(total[1] or 0)
     if not n1 or n1 == n:
         return [], 0.5 if not n else n1 / n
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("y", "text")  # chosen: LABELLED rows of three numbers
+    rows = _texts(docs, chosen.select("doc_id", "y")).select("y", "text")
     counted = rows.mapInArrow(run, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     ratio = ((F.col("a") + 0.5) / F.lit(n1 + 1)) / ((F.col("n") - F.col("a") + 0.5) / F.lit(n - n1 + 1))
     share = n1 / n
@@ -149,8 +163,9 @@ def mine_voters(docs: DataFrame, chosen: DataFrame) -> tuple[list[str], float]:
 def train(docs: DataFrame, labels: DataFrame, params: ftrl.Ftrl = ftrl.Ftrl(alpha=1.0, l1=3.0, l2=0.01, epochs=5)) -> tuple[ftrl.Linear, LabelModel]:
     """The classifier and its label model, from docs (doc_id, text binary) and labels (doc_id, toxic).
 
-    Nothing of the held-out fold takes part. The label model and the classifier see TRAINED documents outside that fold:
-    those with the least hash of the id, labelled or not.
+    Nothing of the held-out fold takes part. The label model sees the chosen labelled documents and UNLABELLED others
+    outside that fold, those with the least hash of the id; labels anchor it. The classifier learns the model's
+    posteriors of all of them, the labelled ones too.
     """
     chosen = stored(ftrl.sample(labels, "toxic", LABELLED), "toxic-labels")
     voters, prior = mine_voters(docs, chosen)
@@ -169,10 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, params: ftrl.Ftrl = ftrl.Ftrl(alph
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], ["place", "y", "votes", "at"])
 
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    some = ids.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(TRAINED)
-    some = some.join(chosen.select("doc_id", "y"), "doc_id", "left")
-    some = stored(some, "toxic-sample")
-    voted = docs.join(F.broadcast(some), "doc_id").select("place", "y", "text").mapInArrow(vote, "place long, y double, votes array<int>, at array<int>")
+    others = ids.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")  # LABELLED ids
+    others = others.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(UNLABELLED)
+    some = stored(chosen.select("doc_id", "place", "y").unionAll(others.select("doc_id", "place", F.lit(None).cast("double"))), "toxic-sample")
+    voted = _texts(docs, some).select("place", "y", "text").mapInArrow(vote, "place long, y double, votes array<int>, at array<int>")
     voted = stored(voted, "toxic-votes")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,19 +196,19 @@ def train(docs: DataFrame, labels: DataFrame, params: ftrl.Ftrl = ftrl.Ftrl(alph
             place += b.column(0).to_pylist()
             y += b.column(1).to_pylist()
             said += b.column(2).to_pylist()
-            at += [np.array(x.as_py(), np.int64) for x in b.column(3)]
+            at += [np.array(x.as_py(), np.int32) for x in b.column(3)]
         order = sorted(range(len(place)), key=lambda i: (place[i], said[i]))
         votes = np.zeros((len(order), len(names)), np.float32)
         for r, i in enumerate(order):
             votes[r, said[i]] = 1
         known = np.array([np.nan if y[i] is None else y[i] for i in order], float)
         model = fit_label_model(votes, names, known, prior)
-        soft = np.where(np.isnan(known), model.posterior(votes), np.nan_to_num(known))
+        soft = model.posterior(votes)
         w = ftrl.fit([(at[i], np.ones(len(at[i])), p) for i, p in zip(order, soft)], 1 << BITS, params)
         out = np.concatenate([[model.prior], model.hit, model.miss, model.share])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["w", "m"])
 
-    found = voted.repartition(1).mapInArrow(learn, "w binary, m binary").collect()  # at most TRAINED rows
+    found = voted.repartition(1).mapInArrow(learn, "w binary, m binary").collect()  # at most LABELLED + UNLABELLED rows
     if not found:
         none = np.zeros(len(names)) + 0.5
         return ftrl.Linear(np.zeros((1 << BITS) + 1, np.float32)), LabelModel(names, prior, none, none, none)
