@@ -13,7 +13,7 @@ from riskspark.llm.shared import stored, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; the model is fitted on these rows' labels."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.CUT).drop("score")
+    return quality.score(docs, model, "__score").where(F.col("__score") >= quality.CUT).drop("__score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
