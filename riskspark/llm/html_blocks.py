@@ -21,37 +21,48 @@ CONTENT = frozenset("article main".split())
 MARGIN = frozenset("nav header footer aside form menu dialog".split())
 NESTED = CONTENT | MARGIN | frozenset("div section ul ol table figure details blockquote dl".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role attributes that name page furniture.
+#: Words of class, id and role attributes that name what is never main text, and those that may as well
+#: stand on a part of it ("related work", "side effects"): their blocks are told apart by their words and links.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar side aside rail widget menu nav navbar navigation breadcrumb breadcrumbs toc header masthead footer foot copyright comment comments reply "
-    "replies disqus respond share sharing social related recommended newsletter subscribe signup login search pagination pager tags skip toolbar".split()
+    "sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs masthead footer copyright comment comments reply replies disqus respond "
+    "newsletter subscribe signup login pagination pager skip toolbar".split()
 )
-FEATURES = ("furniture", "article", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
+DOUBTFUL = frozenset("side rail toc header foot share sharing social related recommended search tags".split())
+#: Elements that hold a sentence or a title, not an entry of a list or a cell.
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote".split())
+#: Elements whose end tag may be left out, by the openings that end them.
+CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"])}
+FEATURES = ("furniture", "article", "heading", "paragraph", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: Neighbours of a labelled block, before and after: none, a link, a menu line, a short and a long paragraph.
 _AROUND = ((0, 0.0), (1, 1.0), (6, 1.0), (5, 0.0), (80, 0.0))
-#: The labelled blocks outside article and furniture. Columns as in FEATURES, then 1 for main text.
+#: Labelled blocks outside article and furniture. Columns as in FEATURES, then 1 for main text.
 _PLAIN = (
-    (0, 0, 0, 80, 0.00, 60, 0.00, 70, 0.00, 1), (0, 0, 0, 45, 0.05, 8, 0.00, 60, 0.00, 1), (0, 0, 0, 30, 0.00, 90, 0.00, 45, 0.02, 1),
-    (0, 0, 0, 150, 0.03, 5, 1.00, 4, 1.00, 1), (0, 0, 0, 22, 0.00, 35, 0.00, 40, 0.00, 1), (0, 0, 0, 18, 0.10, 50, 0.02, 30, 0.00, 1),
-    (0, 0, 0, 9, 0.00, 60, 0.00, 70, 0.00, 1), (0, 0, 0, 12, 0.00, 40, 0.00, 35, 0.00, 1), (0, 0, 1, 6, 0.00, 3, 1.00, 60, 0.00, 1),
-    (0, 0, 1, 5, 0.00, 70, 0.00, 40, 0.00, 1), (0, 0, 1, 8, 0.00, 30, 0.00, 55, 0.00, 1), (0, 0, 0, 90, 0.00, 0, 0.00, 0, 0.00, 1),
-    (0, 0, 0, 3, 1.00, 2, 1.00, 3, 1.00, 0), (0, 0, 0, 6, 0.80, 4, 1.00, 5, 0.90, 0), (0, 0, 0, 15, 0.60, 5, 1.00, 8, 0.70, 0),
-    (0, 0, 0, 40, 0.70, 3, 1.00, 4, 1.00, 0), (0, 0, 0, 4, 0.00, 2, 1.00, 3, 0.00, 0), (0, 0, 0, 7, 0.00, 4, 0.00, 5, 1.00, 0),
-    (0, 0, 0, 10, 0.40, 60, 0.00, 0, 0.00, 0), (0, 0, 0, 3, 0.00, 5, 0.00, 2, 0.00, 0), (0, 0, 1, 3, 0.00, 4, 1.00, 3, 1.00, 0),
-    (0, 0, 0, 8, 0.00, 3, 1.00, 6, 0.00, 0), (0, 0, 0, 5, 0.00, 80, 0.00, 0, 0.00, 0), (0, 0, 1, 2, 1.00, 2, 1.00, 6, 1.00, 0),
+    (0, 0, 0, 1, 80, 0.00, 60, 0.00, 70, 0.00, 1), (0, 0, 0, 1, 45, 0.05, 8, 0.00, 60, 0.00, 1), (0, 0, 0, 1, 30, 0.00, 90, 0.00, 45, 0.02, 1),
+    (0, 0, 0, 0, 150, 0.03, 5, 1.00, 4, 1.00, 1), (0, 0, 0, 1, 22, 0.00, 35, 0.00, 40, 0.00, 1), (0, 0, 0, 1, 18, 0.10, 50, 0.02, 30, 0.00, 1),
+    (0, 0, 0, 1, 9, 0.00, 60, 0.00, 70, 0.00, 1), (0, 0, 0, 0, 12, 0.00, 40, 0.00, 35, 0.00, 1), (0, 0, 1, 1, 6, 0.00, 3, 1.00, 60, 0.00, 1),
+    (0, 0, 1, 1, 5, 0.00, 70, 0.00, 40, 0.00, 1), (0, 0, 1, 1, 8, 0.00, 30, 0.00, 55, 0.00, 1), (0, 0, 0, 1, 90, 0.00, 0, 0.00, 0, 0.00, 1),
+    (0, 0, 0, 0, 3, 1.00, 2, 1.00, 3, 1.00, 0), (0, 0, 0, 0, 6, 0.80, 4, 1.00, 5, 0.90, 0), (0, 0, 0, 0, 15, 0.60, 5, 1.00, 8, 0.70, 0),
+    (0, 0, 0, 1, 40, 0.70, 3, 1.00, 4, 1.00, 0), (0, 0, 0, 0, 4, 0.00, 2, 1.00, 3, 0.00, 0), (0, 0, 0, 0, 7, 0.00, 4, 0.00, 5, 1.00, 0),
+    (0, 0, 0, 1, 10, 0.40, 60, 0.00, 0, 0.00, 0), (0, 0, 0, 0, 3, 0.00, 5, 0.00, 2, 0.00, 0), (0, 0, 1, 1, 3, 0.00, 4, 1.00, 3, 1.00, 0),
+    (0, 0, 0, 0, 8, 0.00, 3, 1.00, 6, 0.00, 0), (0, 0, 0, 1, 5, 0.00, 80, 0.00, 0, 0.00, 0), (0, 0, 1, 1, 2, 1.00, 2, 1.00, 6, 1.00, 0),
 )
 
 
 def labelled() -> list[tuple]:
     """The table that the tree is trained on: blocks of each kind of container amid each kind of neighbours.
 
-    Furniture is never main text, whatever its length; an article's blocks are, but for short ones all of links.
+    Furniture is never main text, whatever its length; an article's blocks are, but for short entries all of links. In
+    doubtful containers an article's sentences are main text if they are long and bear few links; outside of all of these
+    paragraphs are, and other blocks by their neighbours.
     """
     around = list(product(_AROUND, _AROUND))
-    rows = [(1, a, h, w, k, *b, *c, 0) for i, (b, c) in enumerate(around) for a, h, w, k in ((0, 0, 6, 1.0), (i % 2, i % 3 == 0, (3, 12, 60, 200)[i % 4], 0.0))]
-    rows += [(0, 1, h, w, k, *b, *c, 1) for i, (b, c) in enumerate(around) for h, w, k in ((0, (1, 5, 60, 300)[i % 4], 0.0), (i % 2, (2, 9, 14, 90)[i % 4], 0.3 * (i % 2)))]
-    rows += [(0, 1, 0, w, 1.0, *b, *b, 0) for w, b in product((1, 4, 8), _AROUND)]
+    rows = [(2, a, h, p, w, k, *b, *c, 0) for i, (b, c) in enumerate(around) for a, h, p, w, k in ((0, 0, 0, 6, 1.0), (i % 2, i % 3 == 0, 1, (3, 12, 60, 200)[i % 4], 0.0))]
+    rows += [(1, a, h, p, w, k, *b, *c, y) for i, (b, c) in enumerate(around) for a, h, p, w, k, y in ((1, 0, i % 2, (2, 6, 10)[i % 3], 1.0, 0), (1, 0, 0, (3, 6, 9)[i % 3], 0.0, 0), (1, 0, 1, (15, 30, 90)[i % 3], 0.1 * (i % 3), 1), (0, 0, i % 2, (4, 20, 60)[i % 3], 0.5 * (i % 3), 0))]
+    rows += [(0, 1, h, p, w, k, *b, *c, 1) for i, (b, c) in enumerate(around) for h, p, w, k in ((0, i % 2, (1, 5, 60, 300)[i % 4], 0.0), (i % 2, i % 2, (2, 9, 14, 90)[i % 4], 0.3 * (i % 2)), (i % 2, 1, (1, 3, 9, 25)[i % 4], 1.0))]
+    rows += [(0, 1, 0, 0, w, 1.0, *b, *b, 0) for w, b in product((1, 4, 8), _AROUND)]
+    rows += [(0, 0, 0, 1, (14, 20, 35)[i % 3], 0.0, *b, *c, 1) for i, (b, c) in enumerate(around)]
+    rows += [(0, 0, 1, 1, w, 0.0, *b, *c, y) for i, b in enumerate(_AROUND) for w in (2, 4, 8) for c, y in (((15 + 9 * i, 0.0), 1), ((3 + i, 1.0), 0))]
     return rows + list(_PLAIN)
 
 
@@ -92,31 +103,40 @@ def classify(tree, features: tuple) -> int:
     return tree
 
 
-def _furniture(attributes: str) -> bool:
-    return any(w in FURNITURE for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def _furniture(attributes: str) -> int:
+    """2 if the attributes name furniture, 1 if what they name is doubtful, else 0."""
+    words = {w for m in _NAMED.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+    return 2 if words & FURNITURE else 1 if words & DOUBTFUL else 0
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
-    """(text, in furniture, in an article, heading, words, words in links) of each flat block of a page, in order.
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
+    """(text, furniture, in an article, heading, paragraph, words, words in links) of each flat block of a page, in order.
 
-    The innermost element that tells decides whether a block is furniture or article. Broken markup is borne: an end tag
-    closes the nearest element of its name, if one is open; comments and skipped elements are passed over.
+    The innermost element that tells decides whether a block is furniture (2) or article; one that is doubtful makes it 1
+    and leaves the article as it is around it. Broken markup is borne: an end tag closes the nearest element of its name,
+    if one is open; elements whose end tag may be left out end where the next one opens; comments and skipped elements
+    are passed over.
     """
     out: list = []
-    stack: list[tuple[str, int]] = []  # name; 1 article, -1 furniture, 0 as its parent
+    stack: list[tuple[str, int]] = []  # name; 1 article, -1 furniture, 2 doubtful, 0 as its parent
     text: list[str] = []
     links = anchor = 0
-    heading = False
+    kind = ""
 
-    def state() -> tuple[bool, bool]:
-        mark = next((m for _, m in reversed(stack) if m), 0)
-        return mark < 0, mark > 0
+    def state() -> tuple[int, bool]:
+        doubtful = False
+        for _, m in reversed(stack):
+            if m == 2:
+                doubtful = True
+            elif m:
+                return (2, False) if m < 0 else (int(doubtful), True)
+        return int(doubtful), False
 
     def flush() -> None:
         nonlocal links
         words = "".join(text).split()
         if words:
-            out.append((" ".join(words), *state(), heading, len(words), min(links, len(words))))
+            out.append((" ".join(words), *state(), kind in HEADINGS, kind in PARAGRAPHS, len(words), min(links, len(words))))
         text.clear()
         links = 0
 
@@ -149,18 +169,25 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
         if name in INLINE or name in SKIPPED or name == "br":
             continue
         flush()
-        heading = name in HEADINGS and not closing
+        kind = "" if closing else name
+        if not closing and stack:  # an open paragraph ends with any block, a list's entry or a cell with the next
+            open_ = stack[-1][0]
+            if open_ == "p" or name in CLOSED_BY.get(open_, ()):
+                stack.pop()
         if name in NESTED:
             if not closing:
                 anchor = 0
-                mark = -1 if name in MARGIN or _furniture(m[3]) else 1 if name in CONTENT else 0
+                named = _furniture(m[3])
+                mark = -1 if name in MARGIN or named == 2 else 1 if name in CONTENT else 2 if named else 0
                 stack.append((name, mark))
             elif any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-        elif not closing and _furniture(m[3]):  # a paragraph or item of furniture ends with the next block
-            stack.append((name, -1))
-        if closing and name not in NESTED and stack and stack[-1][0] == name:
+        elif not closing:
+            named = _furniture(m[3])
+            if named:
+                stack.append((name, -1 if named == 2 else 2))
+        elif stack and stack[-1][0] == name:
             stack.pop()
     flush()
     return out
@@ -168,11 +195,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool, int, int]]:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    sizes = [(0, 0.0), *((b[4], b[5] / b[4]) for b in found), (0, 0.0)]
+    sizes = [(0, 0.0), *((words, links / words) for *_, words, links in found), (0, 0.0)]
     kept = []
-    for i, (text, furniture, article, heading, *_) in enumerate(found):
+    for i, (text, furniture, article, heading, paragraph, *_) in enumerate(found):
         before, here, after = sizes[i], sizes[i + 1], sizes[i + 2]
-        if classify(tree, (furniture, article, heading, *here, *before, *after)):
+        if classify(tree, (furniture, article, heading, paragraph, *here, *before, *after)):
             kept.append(text)
     return " ".join(kept)
 
