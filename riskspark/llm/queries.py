@@ -62,5 +62,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_embed_dedup, op3_quality, op4_secret_scan, op5_graph_ann, op6_toxicity, op7_lattice_sampling, op8_html_blocks, op9_packing, op10_line_chunks)}
 
 
+#: All pairs by cosine, and what each vector reaches by links. The other operators hash, learn, tokenize or approximate,
+#: which SQL cannot express; tests hold them against plain versions.
+_LINKS = """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+ r(a, c) as (select vec_id, vec_id from v union select l.a, r.c from l join r on r.a = l.b),
+ c as (select a, min(c) as c from r group by a), n as (select a, count(*) as n from l group by a)
+ select vec_id, coalesce(n.n, 0) as n_links, coalesce(c.c, vec_id) as component_id, coalesce(vec_id = coalesce(c.c, vec_id), false) as kept
+ from embeddings left join c on c.a = vec_id left join n on n.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embed_dedup": _LINKS}

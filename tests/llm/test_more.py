@@ -184,3 +184,19 @@ def test_queries_of_a_repeated_id(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [0.0, 2.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
     got = [(t.query_id, t["rank"], t.vec_id) for t in graph_ann.nearest(df).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]  # the least vector, (0, 3), asks
+
+
+def test_links_by_sql(spark, tmp_path):
+    import duckdb
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 12))
+    for i in range(0, 120, 3):
+        x[i + 1], x[i + 2] = x[i] + r.normal(size=12) * 0.2, x[max(0, i - 3)] * 2
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))] + [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [1.0] * 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(c.sql(queries.oracle_sql()["op2_embed_dedup"]).fetchall())
+    got = sorted(tuple(t) for t in queries.op2_embed_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == want and sum(t[1] for t in want) > 100
