@@ -41,18 +41,27 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row of docs (doc_id, text); a null text counts as empty. Rows never leave their task."""
+def fingerprints(docs: DataFrame, words: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row of docs (doc_id, text); a null text counts as empty. Rows never leave their task.
+
+    hashed adds th, the text's SHA-256.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8")), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    if hashed:
+        return source.withColumn("th", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, fp long, th string")
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
+def _text_hash(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def _segment(fp: Column, i: int) -> Column:
     lo, width = RING[i % 3]
     return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << width) - 1))
@@ -108,6 +117,13 @@ def fingerprint_links(classes: DataFrame, bucket: int = 64) -> DataFrame:
     return pairs.unionAll(stars)
 
 
+def _components(fps: DataFrame, bucket: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint of fps (doc_id, fp) that a numbered row has."""
+    classes = stored(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    found = connected_components(fingerprint_links(classes, bucket))
+    return classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs (doc_id, text).
 
@@ -117,11 +133,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFr
     fingerprint's component, null if no numbered row shares it. Copies are one class: they never become pairs.
     """
     fps = stored(fingerprints(only(docs, "doc_id", "text"), words), "fingerprints")
-    classes = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
-    found = connected_components(fingerprint_links(classes, bucket))
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select(
+    return fps.join(_components(fps, bucket), "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -212,13 +224,15 @@ def _across(keys: DataFrame, block: int) -> DataFrame:
     return pairs.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
 
 
-def similar_links(reps: DataFrame, turns: int = 2, block: int = 1024) -> DataFrame:
+def similar_links(reps: DataFrame, known: DataFrame | None = None, turns: int = 2, block: int = 1024) -> DataFrame:
     """Edges (a, b) that join texts of reps (doc_id, text binary) into the same groups as all candidate pairs would.
 
     Texts that share a band key are candidates; an edge needs SIMILAR of the five-word shingles. First every member of
     a bucket is compared with the least one, then what this did not group with it among itself in the same way; so a
     bucket of copies costs a comparison a member. Then all pairs of a bucket that are not yet in one group are compared.
+    known (a, b) are links that hold already; pairs that they group need no comparison and are not returned.
     """
+    held = lambda links: links if known is None else links.unionAll(known)
     keys = stored(_bands(reps), "bands")
     left, seen, found = keys, None, None
     for turn in range(turns):
@@ -228,27 +242,31 @@ def similar_links(reps: DataFrame, turns: int = 2, block: int = 1024) -> DataFra
         linked = stored(_similar(_with_texts(fresh, reps)), "similar")
         seen, found = (pairs, linked) if seen is None else (seen.unionAll(pairs), found.unionAll(linked))
         if turn + 1 < turns:
-            named = stored(_grouped(left, found), "grouped")
+            named = stored(_grouped(left, held(found)), "grouped")
             leads = named.groupBy("k").agg(F.min_by("c", "doc_id").alias("lead"))
             left = stored(named.join(leads, "k").where("c != lead").select(*keys.columns), "bands")
-    rest = _across(stored(_grouped(keys, found), "grouped"), block).join(seen, ["a", "b"], "left_anti")
+    rest = _across(stored(_grouped(keys, held(found)), "grouped"), block).join(seen, ["a", "b"], "left_anti")
     return found.unionAll(stored(_similar(_with_texts(rest, reps)), "similar"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, bucket: int = 64) -> DataFrame:
     """docs with one document of each group: the one of the least doc_id, its columns as they are.
 
     Documents group if their fingerprints are within two bits (as near_duplicates has it), or their texts share 0.8 of
-    their five-word shingles. Texts without words are one group. Rows with a null doc_id stay; a repeated doc_id stays
-    once.
+    their five-word shingles; every distinct text takes part in both searches. Texts without words are one group. Rows
+    with a null doc_id stay. A repeated doc_id counts and stays once, with the text of the least SHA-256.
     """
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = stored(near_duplicates(slim).select("doc_id", "component_id").distinct(), "parts")
-    reps = slim.join(parts.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
-    reps = reps.groupBy("doc_id").agg(F.min(F.col("text").cast("binary")).alias("text"))
-    more = connected_components(similar_links(stored(reps, "reps")))
-    kept = parts.where("doc_id = component_id").select("doc_id").join(more.where("node != component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    rows = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept")).drop("__kept")
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
+    fps = fingerprints(only(docs.where("doc_id is not null"), "doc_id", "text"), hashed=True)
+    one = fps.groupBy("doc_id").agg(F.min(F.struct("th", "fp")).alias("m")).select("doc_id", "m.th", "m.fp")
+    texts = stored(one.groupBy("th", "fp").agg(F.min("doc_id").alias("doc_id")), "texts")
+    known = texts.join(_components(texts, bucket), "fp").where("doc_id != component_id")
+    known = stored(known.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "known")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    reps = source.withColumn("th", _text_hash(F.col("text"))).join(texts.select("doc_id", "th"), ["doc_id", "th"], "left_semi")
+    reps = stored(reps.groupBy("doc_id").agg(F.min("text").alias("text")), "reps")
+    more = connected_components(known.unionAll(similar_links(reps, known)))
+    kept = texts.join(more.where("node != component"), F.col("doc_id") == F.col("node"), "left_anti").select(F.col("doc_id").alias("__kept"))
+    rows = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept")
+    first = Window.partitionBy("doc_id").orderBy(_text_hash(F.col("text")))
     rows = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
     return rows.unionByName(docs.where("doc_id is null"))

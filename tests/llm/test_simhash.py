@@ -105,3 +105,33 @@ def test_similar_links_are_those_of_all_candidates(spark):
         got = [(x.a, x.b) for x in simhash.similar_links(reps, **how).collect()]
         assert all(near(a, b) for a, b in got)
         assert groups(range(len(rows)), got) == groups(range(len(rows)), want)
+
+
+def test_stage_groups_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(25):  # drifting edits: later ones resemble the one before, not the first
+        t = [r.choice(words) for _ in range(r.choice((60, 150)))]
+        for _ in range(5):
+            texts.append(" ".join(t))
+            t = list(t)
+            for _ in range(r.choice((1, 2, 3))):
+                t[r.randrange(len(t))] = r.choice(words)
+    texts += ["", None, texts[0], texts[7].upper(), "one word", "One  word"]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = [*zip(ids, texts), (ids[3], texts[3])]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    fps, sets = [plain(t or "") for t in texts], [set(simhash.shingle_set((t or "").encode()).tolist()) for t in texts]
+    near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    links = [(ids[i], ids[j]) for i in range(len(texts)) for j in range(i) if near(i, j)]
+    want = groups(ids, links)
+    assert sum((fps[i] ^ fps[j]).bit_count() > 2 and bool(near(i, j)) for i in range(len(texts)) for j in range(i)) > 20
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(want.values()))
+
+
+def test_a_repeated_doc_id_keeps_one_text_however_rows_lie(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "eta theta iota kappa lambda mu"), (2, "nu xi omicron pi rho sigma"), (2, None)]
+    kept = [sorted((x.doc_id, x.text) for x in simhash.deduplicate(spark.createDataFrame(o, "doc_id long, text string").repartition(n)).collect()) for o, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and [x[0] for x in kept[0]] == [1, 2]
