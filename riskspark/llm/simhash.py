@@ -176,7 +176,7 @@ def _bands(docs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, ta, tb) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    """(a, b): the roots ra and rb of those pairs (a, b, ra, rb, ta, tb) whose shingle sets are SIMILAR or more by Jaccard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,12 +184,12 @@ def _similar(pairs: DataFrame) -> DataFrame:
             for r, ends in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 for side, i in enumerate(ends):
                     if i not in sets:
-                        sets[i] = shingle_set(batch.column(2 + side)[r].as_py())
+                        sets[i] = shingle_set(batch.column(4 + side)[r].as_py())
                 x, y = sets[ends[0]], sets[ends[1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= SIMILAR * (len(x) + len(y) - both))
             at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at)], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -197,55 +197,60 @@ def _similar(pairs: DataFrame) -> DataFrame:
 def _with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     texts = reps.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     other = reps.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(texts, "a").join(other, "b").select("a", "b", "ta", "tb")
+    return pairs.join(texts, "a").join(other, "b").select("a", "b", "ra", "rb", "ta", "tb")
 
 
 def _grouped(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """keys with `c`, the component that links (a, b) give each doc_id."""
-    found = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    return keys.join(found, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    """keys with `c`, the component that links (a, b) of roots give each root."""
+    found = connected_components(links).select(F.col("node").alias("root"), F.col("component").alias("c"))
+    return keys.join(found, "root", "left").withColumn("c", F.coalesce("c", "root"))
 
 
 def _across(keys: DataFrame, block: int) -> DataFrame:
-    """(a, b), a > b: all pairs of keys (doc_id, k, n, c) of one k whose c differ and whose sizes allow SIMILAR.
+    """(a, b, ra, rb), a > b: all pairs of keys (doc_id, k, n, root, c) of one k whose c differ and whose sizes allow SIMILAR.
 
     A bucket is cut into parts of about `block` members, and two parts meet under a key of their own, so that no task
     has more than block x block pairs of a bucket to look at.
     """
     mixed = keys.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
     open_ = keys.join(mixed.where("lo < hi").select("k", "parts"), "k").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    left = open_.select("k", "doc_id", "n", "c", F.col("g").alias("x"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("y"))
-    right = open_.select("k", "doc_id", "n", "c", F.explode(F.sequence(F.lit(0), "g")).alias("x"), F.col("g").alias("y"))
+    cols = ["k", "doc_id", "root", "n", "c"]
+    left = open_.select(*cols, F.col("g").alias("x"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("y"))
+    right = open_.select(*cols, F.explode(F.sequence(F.lit(0), "g")).alias("x"), F.col("g").alias("y"))
     l, r = left.alias("l"), right.alias("r")
     same = (F.col("l.k") == F.col("r.k")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     once = (F.col("l.x") < F.col("l.y")) | (F.col("l.doc_id") < F.col("r.doc_id"))
     fits = F.least("l.n", "r.n") >= SIMILAR * F.greatest("l.n", "r.n")
     pairs = l.join(r, same & once & (F.col("l.c") != F.col("r.c")) & fits)
-    return pairs.select(F.greatest("l.doc_id", "r.doc_id").alias("a"), F.least("l.doc_id", "r.doc_id").alias("b")).distinct()
+    turned = F.col("l.doc_id") < F.col("r.doc_id")
+    pick = lambda x, y, name: F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name)
+    return pairs.select(pick("r.doc_id", "l.doc_id", "a"), pick("l.doc_id", "r.doc_id", "b"), pick("r.root", "l.root", "ra"), pick("l.root", "r.root", "rb")).distinct()
 
 
-def similar_links(reps: DataFrame, known: DataFrame | None = None, turns: int = 2, block: int = 1024) -> DataFrame:
+def similar_links(reps: DataFrame, roots: DataFrame | None = None, turns: int = 2, block: int = 1024) -> DataFrame:
     """Edges (a, b) that join texts of reps (doc_id, text binary) into the same groups as all candidate pairs would.
 
     Texts that share a band key are candidates; an edge needs SIMILAR of the five-word shingles. First every member of
     a bucket is compared with the least one, then what this did not group with it among itself in the same way; so a
     bucket of copies costs a comparison a member. Then all pairs of a bucket that are not yet in one group are compared.
-    known (a, b) are links that hold already; pairs that they group need no comparison and are not returned.
+    roots (doc_id, root) names groups that hold already: their texts all take part, but are not compared with each
+    other, and edges join roots. Without it a text is its own root.
     """
-    held = lambda links: links if known is None else links.unionAll(known)
-    keys = stored(_bands(reps), "bands")
+    bands = _bands(reps)
+    keys = stored(bands.withColumn("root", F.col("doc_id")) if roots is None else bands.join(roots, "doc_id"), "bands")
     left, seen, found = keys, None, None
     for turn in range(turns):
-        least = left.groupBy("k").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).where("m > 1").select("k", "b")
-        pairs = stored(left.join(least, "k").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct(), "led")
+        least = left.groupBy("k").agg(F.min("doc_id").alias("b"), F.min_by("root", "doc_id").alias("rb"), F.count("*").alias("m")).where("m > 1")
+        pairs = left.join(least, "k").where("root != rb").select(F.col("doc_id").alias("a"), "b", F.col("root").alias("ra"), "rb")
+        pairs = stored(pairs.distinct(), "led")
         fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
         linked = stored(_similar(_with_texts(fresh, reps)), "similar")
         seen, found = (pairs, linked) if seen is None else (seen.unionAll(pairs), found.unionAll(linked))
         if turn + 1 < turns:
-            named = stored(_grouped(left, held(found)), "grouped")
+            named = stored(_grouped(left, found), "grouped")
             leads = named.groupBy("k").agg(F.min_by("c", "doc_id").alias("lead"))
             left = stored(named.join(leads, "k").where("c != lead").select(*keys.columns), "bands")
-    rest = _across(stored(_grouped(keys, held(found)), "grouped"), block).join(seen, ["a", "b"], "left_anti")
+    rest = _across(stored(_grouped(keys, found), "grouped"), block).join(seen, ["a", "b"], "left_anti")
     return found.unionAll(stored(_similar(_with_texts(rest, reps)), "similar"))
 
 
@@ -259,13 +264,12 @@ def deduplicate(docs: DataFrame, bucket: int = 64) -> DataFrame:
     fps = fingerprints(only(docs.where("doc_id is not null"), "doc_id", "text"), hashed=True)
     one = fps.groupBy("doc_id").agg(F.min(F.struct("th", "fp")).alias("m")).select("doc_id", "m.th", "m.fp")
     texts = stored(one.groupBy("th", "fp").agg(F.min("doc_id").alias("doc_id")), "texts")
-    known = texts.join(_components(texts, bucket), "fp").where("doc_id != component_id")
-    known = stored(known.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "known")
+    roots = stored(texts.join(_components(texts, bucket), "fp").select("doc_id", F.col("component_id").alias("root")), "roots")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     reps = source.withColumn("th", _text_hash(F.col("text"))).join(texts.select("doc_id", "th"), ["doc_id", "th"], "left_semi")
     reps = stored(reps.groupBy("doc_id").agg(F.min("text").alias("text")), "reps")
-    more = connected_components(known.unionAll(similar_links(reps, known)))
-    kept = texts.join(more.where("node != component"), F.col("doc_id") == F.col("node"), "left_anti").select(F.col("doc_id").alias("__kept"))
+    more = connected_components(similar_links(reps, roots)).where("node != component").select(F.col("node").alias("doc_id"))
+    kept = roots.where("doc_id = root").join(more, "doc_id", "left_anti").select(F.col("doc_id").alias("__kept"))
     rows = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept")
     first = Window.partitionBy("doc_id").orderBy(_text_hash(F.col("text")))
     rows = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
