@@ -140,6 +140,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bucket: int = 64) -> DataFr
 
 #: Words of a shingle, least similarity, and the sketch: bands of min-wise hashes that find pairs beyond two bits.
 STAGE_WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 5
+#: Pairs of texts in an Arrow batch.
+PAIRS = 500
 
 
 def shingle_set(text: bytes | None, words: int = STAGE_WORDS) -> np.ndarray:
@@ -200,6 +202,17 @@ def _with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(texts, "a").join(other, "b").select("a", "b", "ra", "rb", "ta", "tb")
 
 
+def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The links of those pairs that hold, stored. A row brings two whole texts, so Arrow batches are kept short meanwhile."""
+    conf, name = reps.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(PAIRS))
+    try:
+        return stored(_similar(_with_texts(pairs, reps)), "similar")
+    finally:
+        conf.set(name, before)
+
+
 def _grouped(keys: DataFrame, links: DataFrame) -> DataFrame:
     """keys with `c`, the component that links (a, b) of roots give each root."""
     found = connected_components(links).select(F.col("node").alias("root"), F.col("component").alias("c"))
@@ -244,14 +257,14 @@ def similar_links(reps: DataFrame, roots: DataFrame | None = None, turns: int =
         pairs = left.join(least, "k").where("root != rb").select(F.col("doc_id").alias("a"), "b", F.col("root").alias("ra"), "rb")
         pairs = stored(pairs.distinct(), "led")
         fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        linked = stored(_similar(_with_texts(fresh, reps)), "similar")
+        linked = _verified(fresh, reps)
         seen, found = (pairs, linked) if seen is None else (seen.unionAll(pairs), found.unionAll(linked))
         if turn + 1 < turns:
             named = stored(_grouped(left, found), "grouped")
             leads = named.groupBy("k").agg(F.min_by("c", "doc_id").alias("lead"))
             left = stored(named.join(leads, "k").where("c != lead").select(*keys.columns), "bands")
     rest = _across(stored(_grouped(keys, found), "grouped"), block).join(seen, ["a", "b"], "left_anti")
-    return found.unionAll(stored(_similar(_with_texts(rest, reps)), "similar"))
+    return found.unionAll(_verified(rest, reps))
 
 
 def deduplicate(docs: DataFrame, bucket: int = 64) -> DataFrame:
