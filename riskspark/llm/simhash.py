@@ -219,21 +219,50 @@ def _grouped(keys: DataFrame, links: DataFrame) -> DataFrame:
     return keys.join(found, "root", "left").withColumn("c", F.coalesce("c", "root"))
 
 
+def _shingles(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n) of every distinct shingle of docs (doc_id, text binary), n being the text's number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1)):
+                h = shingle_set(t.as_py())
+                for lo in range(0, len(h), BLOCK):
+                    part = h[lo : lo + BLOCK].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), pa.int64()), pa.array(part), pa.array(np.full(len(part), len(h), np.int64))], ["doc_id", "h", "n"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, n long")
+
+
+def _rarest(shingles: DataFrame) -> DataFrame:
+    """(doc_id, k, i, n): of each text's n shingles, rarest first, those that a partner at SIMILAR cannot all lack.
+
+    A partner holds SIMILAR x n of them at least, so it holds one of the first n - SIMILAR x n + 1 whatever the order.
+    Shingles of one text alone come first and are left out, as nothing can share them; i is the place among all.
+    """
+    often = shingles.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
+    text = Window.partitionBy("doc_id")
+    place = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("texts", "h"))
+    placed = shingles.join(often, "h").select("doc_id", F.col("h").alias("k"), place.alias("i"), "n")
+    return placed.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1)
+
+
 def _across(keys: DataFrame, block: int) -> DataFrame:
-    """(a, b, ra, rb), a > b: all pairs of keys (doc_id, k, n, root, c) of one k whose c differ and whose sizes allow SIMILAR.
+    """(a, b, ra, rb), a > b: the pairs of keys (doc_id, k, i, n, root, c) of one k whose c differ and that may be SIMILAR.
 
-    A bucket is cut into parts of about `block` members, and two parts meet under a key of their own, so that no task
-    has more than block x block pairs of a bucket to look at.
+    The first shingle that a pair shares bounds what it can share in all by what follows it in either text, so a pair
+    whose every common key falls short of SIMILAR is none. A key's members are cut into parts of about `block`, and two
+    parts meet under a key of their own, so that no task has more than block x block pairs of a key to look at.
     """
     mixed = keys.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
     open_ = keys.join(mixed.where("lo < hi").select("k", "parts"), "k").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    cols = ["k", "doc_id", "root", "n", "c"]
+    cols = ["k", "doc_id", "root", "i", "n", "c"]
     left = open_.select(*cols, F.col("g").alias("x"), F.explode(F.sequence("g", F.col("parts") - 1)).alias("y"))
     right = open_.select(*cols, F.explode(F.sequence(F.lit(0), "g")).alias("x"), F.col("g").alias("y"))
     l, r = left.alias("l"), right.alias("r")
     same = (F.col("l.k") == F.col("r.k")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
     once = (F.col("l.x") < F.col("l.y")) | (F.col("l.doc_id") < F.col("r.doc_id"))
-    fits = F.least("l.n", "r.n") >= SIMILAR * F.greatest("l.n", "r.n")
+    most = F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i")) + 1
+    fits = most * (1 + SIMILAR) >= (F.col("l.n") + F.col("r.n")) * SIMILAR - 1e-9
     pairs = l.join(r, same & once & (F.col("l.c") != F.col("r.c")) & fits)
     turned = F.col("l.doc_id") < F.col("r.doc_id")
     pick = lambda x, y, name: F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name)
@@ -245,7 +274,9 @@ def similar_links(reps: DataFrame, roots: DataFrame | None = None, turns: int =
 
     Texts that share a band key are candidates; an edge needs SIMILAR of the five-word shingles. First every member of
     a bucket is compared with the least one, then what this did not group with it among itself in the same way; so a
-    bucket of copies costs a comparison a member. Then all pairs of a bucket that are not yet in one group are compared.
+    bucket of copies costs a comparison a member. Texts of buckets that still hold two groups or more are then joined
+    on their rarest shingles, which finds every pair of them at SIMILAR; texts that a crowd merely resembles have
+    shingles of their own in that place and meet nobody.
     roots (doc_id, root) names groups that hold already: their texts all take part, but are not compared with each
     other, and edges join roots. Without it a text is its own root.
     """
@@ -263,7 +294,11 @@ def similar_links(reps: DataFrame, roots: DataFrame | None = None, turns: int =
             named = stored(_grouped(left, found), "grouped")
             leads = named.groupBy("k").agg(F.min_by("c", "doc_id").alias("lead"))
             left = stored(named.join(leads, "k").where("c != lead").select(*keys.columns), "bands")
-    rest = _across(stored(_grouped(keys, found), "grouped"), block).join(seen, ["a", "b"], "left_anti")
+    named = stored(_grouped(keys, found), "grouped")
+    mixed = named.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    open_ = stored(named.join(mixed, "k").select("doc_id", "root", "c").distinct(), "open")
+    shingles = stored(_shingles(reps.join(open_.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
+    rest = _across(stored(_rarest(shingles).join(open_, "doc_id"), "rarest"), block).join(seen, ["a", "b"], "left_anti")
     return found.unionAll(_verified(rest, reps))
 
 
