@@ -9,15 +9,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import stored
-from .vectors import matrix, usable
+from .vectors import usable
 
-#: Rows of a shard, about; out-degree; beam while building and while searching; the relaxation of pruning.
-SHARD, DEGREE, BUILD, BEAM, ALPHA = 4096, 32, 64, 160, 1.2
-#: Queries that travel to a shard together (a shard's graph is read once for each such set), those searched together, and
-#: neighbours asked for.
-SET, BLOCK, NEAREST = 4096, 512, 10
+#: Rows of a shard, about: the least, what a table of SHARDS of them has, and the most. A query searches every shard, so
+#: a larger table gets larger shards before it gets more of them.
+SHARD, SHARDS, LARGEST = 4096, 64, 65536
+#: Out-degree, and what it may grow by before a node is pruned again; beam while building and while searching; the
+#: relaxation of pruning.
+DEGREE, SLACK, BUILD, BEAM, ALPHA = 32, 16, 64, 160, 1.2
+#: Queries searched together, and neighbours asked for.
+BLOCK, NEAREST = 512, 10
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +92,13 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD, alpha: float =
     """The graph of the rows of x and its entry, the row nearest to their mean.
 
     Two passes over the rows in a seeded order, in batches: each row is searched for in the graph so far, its neighbours
-    are pruned (first without, then with relaxation), and it is put back to them. Rows that no path reaches are linked
-    from the nearest row that one does.
+    are pruned (first without, then with relaxation), and it is put back to them. A row with more than SLACK neighbours
+    over `degree` is pruned at once, the others at the end. Rows that no path reaches are linked from the nearest row
+    that one does.
     """
-    m = len(x)
+    m, most = len(x), degree + SLACK
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    graph = np.full((m, degree), -1, np.int64)
+    graph = np.full((m, most), -1, np.int32)
     rng = np.random.default_rng(seed)
     for i in range(m):
         k = min(degree // 2, m - 1)
@@ -115,11 +120,15 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD, alpha: float =
             for j, new in back.items():
                 all_ = np.union1d(graph[j][graph[j] >= 0], new)
                 all_ = all_[all_ != j]
-                if len(all_) > degree:
+                if len(all_) > most:
                     all_ = robust_prune(x, j, all_, degree, a)
                 graph[j] = -1
                 graph[j, : len(all_)] = all_
-    return _reachable(x, graph, start), start
+    for i in np.flatnonzero((graph >= 0).sum(1) > degree).tolist():
+        chosen = robust_prune(x, i, graph[i], degree, alpha)
+        graph[i] = -1
+        graph[i, : len(chosen)] = chosen
+    return _reachable(x, np.ascontiguousarray(graph[:, :degree]), start), start
 
 
 def _reachable(x: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
@@ -146,58 +155,99 @@ def _reachable(x: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
         graph[j, np.flatnonzero(graph[j] < 0)[0]] = i
 
 
-def index(rows: DataFrame, shards: int) -> DataFrame:
-    """One graph a shard: (dim, shard, ids, at, v, graph, start). Equal vectors are one node with all their ids."""
+def _packed(values: np.ndarray) -> list[bytes]:
+    """Each row's bytes."""
+    raw, n = values.tobytes(), values.itemsize * values.shape[1]
+    return [raw[i * n : (i + 1) * n] for i in range(len(values))]
+
+
+def index(rows: DataFrame, shards: int, kind: str) -> DataFrame:
+    """One graph a shard, a row a node: (dim, shard, node, ids, v, graph, start). Equal vectors are one node with all their
+    ids; v has components of the type `kind`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf.dim.iloc[0])
         pdf = pdf.sort_values("vec_id", ignore_index=True)
-        x, node = np.unique(matrix(pdf.v, dim), axis=0, return_inverse=True)
+        x, at = np.unique(np.frombuffer(b"".join(pdf.v), kind).reshape(-1, dim).astype(float), axis=0, return_inverse=True)
         graph, start = build(x)
-        return pd.DataFrame({"dim": [dim], "shard": [int(pdf.shard.iloc[0])], "ids": [pdf.vec_id.to_numpy("<i8").tobytes()], "at": [node.ravel().astype("<i4").tobytes()], "v": [x.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "start": [start]})
+        ids = pdf.vec_id.to_numpy("<i8")[np.argsort(at.ravel(), kind="stable")]  # they ascend within a node
+        ends = np.cumsum(np.bincount(at.ravel(), minlength=len(x)))
+        ids = [i.tobytes() for i in np.split(ids, ends[:-1])]
+        return pd.DataFrame({"dim": dim, "shard": int(pdf.shard.iloc[0]), "node": np.arange(len(x)), "ids": ids, "v": _packed(x.astype(kind)), "graph": _packed(graph.astype("<i4")), "start": start})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, ids binary, at binary, v binary, graph binary, start int")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
+    return dealt.groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, node long, ids binary, v binary, graph binary, start int")
 
 
-def _as_bytes(rows: DataFrame) -> DataFrame:
+def _as_bytes(rows: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [np.array(x.as_py(), "<f8").tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], ["vec_id", "v", "dim"])
+            values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+            ends = np.append(0, np.cumsum(b.column(2).to_numpy()) * values.itemsize).astype("<i4")
+            v = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), v, b.column(2)], ["vec_id", "v", "dim"])
 
     return rows.select("vec_id", "v", "dim").mapInArrow(run, "vec_id long, v binary, dim int")
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            dim = r["dim"]
-            x = np.frombuffer(r["v"], "<f8").reshape(-1, dim)
-            graph = np.frombuffer(r["graph"], "<i4").reshape(len(x), -1).astype(np.int64)
-            ids, at = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["at"], "<i4")
-            order = np.argsort(at, kind="stable")  # ids ascend within a node
-            first = np.searchsorted(at[order], np.arange(len(x) + 1))
-            qid, q = np.frombuffer(r["qid"], "<i8"), np.frombuffer(r["q"], "<f8").reshape(-1, dim)
-            parts = [beam_search(x, graph, r["start"], q[lo : lo + BLOCK], BEAM) for lo in range(0, len(q), BLOCK)]
-            near, dist = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            out = {"query_id": [], "vec_id": [], "score": []}
-            for i in range(len(q)):
-                nodes = near[i][np.argsort(dist[i], kind="stable")][: 2 * NEAREST + 1]
-                nodes = nodes[nodes < len(x)]
-                exact = np.sqrt(((x[nodes] - q[i]) ** 2).sum(1))
-                rows = [(d, int(v)) for d, k in zip(exact.tolist(), nodes.tolist()) for v in ids[order[first[k] : first[k + 1]][: NEAREST + 1]] if v != qid[i]]
-                for d, v in sorted(rows)[:NEAREST]:
-                    out["query_id"].append(int(qid[i])), out["vec_id"].append(v), out["score"].append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], ["query_id", "vec_id", "score"])
+class _Shard:
+    """A graph read again from its nodes' rows."""
+
+    def __init__(self, parts: list[pa.RecordBatch], dim: int, kind: str) -> None:
+        read = lambda name, t: np.frombuffer(b"".join(x for p in parts for x in p.column(name).to_pylist()), t)
+        self.x = read("v", kind).reshape(-1, dim).astype(float)
+        self.graph = read("graph", "<i4").reshape(len(self.x), -1)
+        self.ids = read("ids", "<i8")
+        self.first = np.append(0, np.cumsum([len(x) // 8 for p in parts for x in p.column("ids").to_pylist()]))
+        self.start = parts[0].column("start")[0].as_py()
+
+    def nearest(self, qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        near, dist = beam_search(self.x, self.graph, self.start, q, BEAM)
+        out = {"query_id": [], "vec_id": [], "score": []}
+        for i in range(len(q)):
+            nodes = near[i][np.argsort(dist[i], kind="stable")][: 2 * NEAREST + 1]
+            nodes = nodes[(nodes >= 0) & (nodes < len(self.x))]
+            exact = np.sqrt(((self.x[nodes] - q[i]) ** 2).sum(1))
+            rows = [(d, int(v)) for d, k in zip(exact.tolist(), nodes.tolist()) for v in self.ids[self.first[k] : self.first[k + 1]][: NEAREST + 1] if v != qid[i]]
+            for d, v in sorted(rows)[:NEAREST]:
+                out["query_id"].append(int(qid[i])), out["vec_id"].append(v), out["score"].append(d)
+        return pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _search(kind: str):
+    """Over rows in order of (dim, shard, asks, node): a shard's nodes are read into a graph, then its queries run on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, shard = None, [], None
+        for b in batches:
+            where = np.stack([b.column(n).to_numpy() for n in ("dim", "shard", "asks")], 1)
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                dim, number, asks = where[lo].tolist()
+                if (dim, number) != at:
+                    at, parts, shard = (dim, number), [], None
+                if not asks:
+                    parts.append(b.slice(lo, hi - lo))
+                    continue
+                if shard is None and parts:
+                    shard, parts = _Shard(parts, dim, kind), []
+                for i in range(lo, hi if shard else lo, BLOCK):
+                    some = b.slice(i, min(BLOCK, hi - i))
+                    q = np.frombuffer(b"".join(some.column("v").to_pylist()), kind).reshape(-1, dim).astype(float)
+                    yield shard.nearest(some.column("node").to_numpy(), q)
+
+    return run
 
 
 def nearest(vectors: DataFrame, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors (vec_id, embedding): the 10 nearest found of each query's others.
 
     Queries are the rows whose vec_id is divisible by `every`; nearness is Euclidean distance in double precision on the
-    vectors as they are, ties to the smaller vec_id. Rows are dealt to shards of about 4096 by the id's hash, so equal
-    vectors spread out; every shard gets a graph and every block of queries searches every shard of its length. Fewer
+    vectors as they are, ties to the smaller vec_id. Rows are dealt to shards of 4096 to 65536 by the id's hash, so equal
+    vectors spread out; every shard gets a graph and every query searches every shard of its length. A shard's nodes and
+    its queries travel as rows of their own, which a task reads one after the other: no row holds a whole graph. Fewer
     than 10 others give fewer rows. Vectors that are null, zero or hold null or non-finite components take no part, nor
     do null ids. Of several rows of a query's id the shortest, then least vector asks, and none of them is its
     neighbour; other repeated rows are one more candidate each.
@@ -206,18 +256,17 @@ def nearest(vectors: DataFrame, every: int = 100) -> DataFrame:
     total = rows.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = -(-total // SHARD)
-    plain = stored(_as_bytes(rows), "vectors")
-    graphs = stored(index(plain, shards), "graphs")
+    shards = -(-total // max(SHARD, min(LARGEST, -(-total // SHARDS))))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    plain = stored(_as_bytes(rows, kind), "vectors")
+    graphs = stored(index(plain, shards, kind), "graphs")
     asked = plain.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.v", "q.dim")
-    blocks = max(1, -(-asked.count() // SET))
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [int(pdf.dim.iloc[0])], "qid": [pdf.vec_id.to_numpy("<i8").tobytes()], "q": [b"".join(pdf.v)]})
-
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("dim", "block").applyInPandas(gather, "dim int, qid binary, q binary")
-    every_shard = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = every_shard.join(graphs, ["dim", "shard"]).mapInArrow(_search, "query_id long, vec_id long, score double")
+    nodes = graphs.select("dim", "shard", F.lit(0).alias("asks"), "node", "ids", "v", "graph", "start")
+    none = F.lit(None)
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asking = asked.select("dim", every_shard, F.lit(1).alias("asks"), F.col("vec_id").alias("node"), none.cast("binary").alias("ids"), "v", none.cast("binary").alias("graph"), none.cast("int").alias("start"))
+    order = ["dim", "shard", "asks", "node"]
+    dealt = nodes.unionAll(asking).repartition(shards, "dim", "shard").sortWithinPartitions(*order)
+    found = dealt.mapInArrow(_search(kind), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= NEAREST).select("query_id", "rank", "vec_id", "score")

@@ -79,3 +79,19 @@ def test_graph_reaches_every_row():
     while todo:
         todo = [j for i in todo for j in graph[i].tolist() if j >= 0 and j not in seen and not seen.add(j)]
     assert len(seen) == 500
+
+
+def test_no_row_holds_a_graph(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(graph_ann, "SHARD", 50)
+    monkeypatch.setattr(graph_ann, "SHARDS", 3, raising=False)
+    monkeypatch.setattr(graph_ann, "stored", lambda df, name: kept.setdefault(name, df.cache()))
+    df, x, n = table(spark, 4)
+    got = graph_ann.nearest(df, every=30).where("query_id = 0").collect()
+    nodes = kept["graphs"].where("dim = 16")
+    sizes = [sum(len(v) for v in r if isinstance(v, bytearray | bytes)) for r in nodes.collect()]
+    assert len(sizes) >= 0.9 * n and max(sizes) < 4096  # a row a node, whatever a shard's size
+    assert nodes.select("shard").distinct().count() == 3  # a larger table has larger shards first
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    d[0] = np.inf
+    assert len({r.vec_id for r in got} & set(d.argsort(kind="stable")[:10].tolist())) >= 9
