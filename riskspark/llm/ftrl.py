@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, tidied
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def train(features: DataFrame, size: int, p: Ftrl) -> Linear:
         w = fit([r[1:] for r in rows], size, p)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    found = features.select("place", "at", "value", "y").repartition(1).mapInArrow(run, "w binary").collect()
+    found = features.select("place", "at", "value", "y").repartition(1).mapInArrow(tidied(run), "w binary").collect()
     return Linear(np.frombuffer(bytes(found[0].w), np.float32) if found else np.zeros(size + 1, np.float32))
 
 

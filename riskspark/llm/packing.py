@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, stored
+from .shared import only, stored, tidied
 
 CAPACITY = 4096
 PART = 4096
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    return source.mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:

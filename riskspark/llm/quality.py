@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ftrl
-from .shared import held_out, only, stored
+from .shared import held_out, only, stored, tidied
 
 BITS = 18
 #: At most so many labelled rows are learnt from.
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, params: ftr
 
     chosen = F.broadcast(stored(ftrl.sample(labels, "quality", bound), "quality-labels"))  # `bound` rows of three numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).join(chosen, "doc_id")
-    made = rows.groupBy("doc_id", "place", "y").agg(F.min("text").alias("text")).select("place", "y", "text").mapInArrow(run, "place long, at array<int>, value array<float>, y double")
+    made = rows.groupBy("doc_id", "place", "y").agg(F.min("text").alias("text")).select("place", "y", "text").mapInArrow(tidied(run), "place long, at array<int>, value array<float>, y double")
     return ftrl.train(made, 1 << BITS, params)
 
 
@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: ftrl.Linear, name: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.float64())], names)
 
     source = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns])
-    return source.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return source.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,4 +138,4 @@ def scores_only(docs: DataFrame, model: ftrl.Linear) -> DataFrame:
             found = [linear.score(*features(t.as_py() or b"", words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(tidied(run), "doc_id long, score double")

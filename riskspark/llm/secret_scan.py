@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import exists, only, stored
+from .shared import exists, only, stored, tidied
 
 #: The base rules in their order. A match is dropped unless its group has at least so many characters.
 BASE = (
@@ -99,10 +99,10 @@ def blob_id(text: Column) -> Column:
 def scan_new(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Ledger rows of the blobs in versions (text) that the ledger has not under the present rules; one a blob."""
     blobs = versions.select(blob_id(F.col("text")).alias("blob_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blobs = blobs.mapInArrow(_first_copies, "blob_id string, text string")
+    blobs = blobs.mapInArrow(tidied(_first_copies), "blob_id string, text string")
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob_id"), "blob_id", "left_anti")
-    return blobs.repartition("blob_id").mapInArrow(_scan, LEDGER)
+    return blobs.repartition("blob_id").mapInArrow(tidied(_scan), LEDGER)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +87,21 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of any name cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving the memory that it freed back to the system at its end.
+
+    Spark keeps Python workers for later tasks, of any stage; without this each stays as large as its largest task was.
+    """
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return outer

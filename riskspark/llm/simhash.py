@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import only, stored
+from .shared import only, stored, tidied
 
 SEED = 42
 BLOCK = 1 << 16
@@ -54,8 +54,8 @@ def fingerprints(docs: DataFrame, words: int = 3, hashed: bool = False) -> DataF
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     if hashed:
-        return source.withColumn("th", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, fp long, th string")
-    return source.mapInArrow(run, "doc_id long, fp long")
+        return source.withColumn("th", _text_hash(F.col("text"))).mapInArrow(tidied(run), "doc_id long, fp long, th string")
+    return source.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _text_hash(text: Column) -> Column:
@@ -174,7 +174,7 @@ def _bands(docs: DataFrame) -> DataFrame:
                     keys += [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "k", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, k long, n long")
+    return docs.mapInArrow(tidied(run), "doc_id long, k long, n long")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(3).take(at)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidied(run), "a long, b long")
 
 
 def _with_texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def _shingles(docs: DataFrame) -> DataFrame:
                     part = h[lo : lo + BLOCK].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(part), pa.int64()), pa.array(part), pa.array(np.full(len(part), len(h), np.int64))], ["doc_id", "h", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long")
+    return docs.mapInArrow(tidied(run), "doc_id long, h long, n long")
 
 
 def _rarest(shingles: DataFrame) -> DataFrame:

@@ -200,3 +200,19 @@ def test_links_by_sql(spark, tmp_path):
     want = sorted(c.sql(queries.oracle_sql()["op2_embed_dedup"]).fetchall())
     got = sorted(tuple(t) for t in queries.op2_embed_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == want and sum(t[1] for t in want) > 100
+
+
+def test_a_worker_gives_memory_back():
+    psutil = pytest.importorskip("psutil")
+
+    def run(batches):
+        for _ in batches:
+            rows = [np.zeros(100) for _ in range(300_000)]
+            yield [rows[-1]]  # stays at the heap's end
+
+    def held(f):
+        before = psutil.Process().memory_info().rss
+        out = list(f([1]))
+        return (psutil.Process().memory_info().rss - before) / 1e6 if out else 0
+
+    assert held(shared.tidied(run)) < 60
