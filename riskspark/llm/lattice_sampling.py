@@ -19,7 +19,7 @@ SAMPLES, SEED = 3, 20_240_101
 _CHUNK = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 _SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
 #: Nodes kept for reuse; chunks of more characters than this are not kept.
-KEEP, KEPT_LENGTH = 1_200_000, 40
+KEEP, KEPT_LENGTH = 3_000_000, 40
 #: Symbols whose steps down the trie are a table's columns.
 COMMON = 128
 _models: dict = {}
@@ -239,29 +239,34 @@ class Lattice:
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its chunk's end by chance: the edges taken, chunk after chunk, and each chunk's number."""
-        cum, to = self.cum, self.to
-        who, at, step = np.arange(len(node)), node, 0
-        owners, taken, steps = [], [], []
+        cum, to, first = self.cum, self.to, self.first
+        who, at, step, own = np.arange(len(node)), node, 0, key
+        turns, count = [], np.zeros(len(node), np.int64)
         while len(who):
-            u = _uniform(key[who] + np.uint64(step * 0xD1342543DE82EF95 & _ALL))
-            e = self.first[at]
+            u = _uniform(own + np.uint64(step * 0xD1342543DE82EF95 & _ALL))
+            e = first[at]
             low = np.flatnonzero(cum[e] <= u)
-            while len(low):
-                e[low] += 1
-                low = low[cum[e[low]] <= u[low]]
-            owners.append(who)
-            taken.append(e)
-            steps.append(np.full(len(who), step))
+            if len(low):
+                f, v = e[low], u[low]
+                while True:
+                    f += 1
+                    more = cum[f] <= v
+                    if not more.any():
+                        e[low] = f
+                        break
+                    e[low[~more]] = f[~more]
+                    low, f, v = low[more], f[more], v[more]
+            turns.append((who, e))
             at = to[e]
-            on = at >= 0
-            who, at, step = who[on], at[on], step + 1
-        if not owners:
-            return np.zeros(0, np.int64), np.zeros(len(node), np.int64)
-        owner = np.concatenate(owners)
-        count = np.bincount(owner, minlength=len(node))
-        place = (np.cumsum(count) - count)[owner] + np.concatenate(steps)
-        out = np.empty(len(owner), np.int64)
-        out[place] = np.concatenate(taken)
+            on = np.flatnonzero(at >= 0)
+            step += 1
+            if len(on) < len(who):
+                count[who[at < 0]] = step
+            who, at, own = who[on], at[on], own[on]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (who, e) in enumerate(turns):
+            out[begin[who] + step] = e
         return out, count
 
 
@@ -276,19 +281,15 @@ class _Path:
     leave it there. Of each set `delay` is kept, the least exponential clock of its members as a logarithm (inf before
     the edge where it left another path): the set's perturbed value, below the path's own, falls as its delay grows."""
 
-    __slots__ = ("edges", "owner", "before", "log_prob", "value", "delay", "taken")
+    __slots__ = ("edges", "owner", "logs", "before", "log_prob", "value", "delay", "taken")
 
-    def __init__(self, lat: Lattice, edges: np.ndarray, owner: np.ndarray, value: float, from_: int, clock: np.ndarray) -> None:
-        self.edges, self.owner, self.value = edges, owner, value
-        p = lat.chance[edges]
-        run = np.cumsum(np.log(p))
+    def __init__(self, edges: np.ndarray, owner: np.ndarray, logs: np.ndarray, value: float, from_: int, late: np.ndarray) -> None:
+        self.edges, self.owner, self.logs, self.value = edges, owner, logs, value
+        run = np.cumsum(logs)
         self.before = np.concatenate([[0.0], run[:-1]]) if len(run) else run
         self.log_prob = float(run[-1]) if len(run) else 0.0
         self.delay = np.full(len(edges), np.inf)
-        rest = 1.0 - p[from_:]
-        rest[rest < 1e-15] = 0.0
-        with np.errstate(divide="ignore"):
-            self.delay[from_:] = np.log(clock / rest) - self.before[from_:]
+        self.delay[from_:] = late - self.before[from_:]
         self.taken: dict[int, list[int]] = {}
 
     def next(self) -> tuple[int, float]:
@@ -304,6 +305,15 @@ def _clock(x: np.ndarray) -> np.ndarray:
     return -np.log(_uniform(x))
 
 
+def _late(p: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithms of edges' chances, and of their clocks over what the other edges there have; the n-th clock's key is
+    the n-th of key plus n."""
+    rest = 1.0 - p
+    rest[rest < 1e-15] = 0.0
+    with np.errstate(divide="ignore"):
+        return np.log(p), np.log(_clock(key + np.arange(len(key), dtype=np.uint64)) / rest)
+
+
 def _key(base: np.uint64, x: int) -> np.ndarray:
     return base ^ _mix(np.array([x & _ALL], np.uint64))
 
@@ -352,15 +362,16 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
         key = np.concatenate([_mix(p[1].astype(np.uint64) + np.uint64((int(base[p[0]]) + turn * 0x2545F4914F6CDD1D) & _ALL)) for p in plans])
         edges, count = lat.walk(node, key)
         ends = np.concatenate([[0], np.cumsum(count)])
+        cuts = ends[np.concatenate([[0], np.cumsum(lengths)])]
+        noise = np.array([(int(base[p[0]]) ^ (turn + 1) * 0xA0761D6478BD642F & _ALL) + p[4] & _ALL for p in plans], np.uint64)
+        logs, late = _late(lat.chance[edges], np.repeat(noise - cuts[:-1].astype(np.uint64), np.diff(cuts)))
         lo = 0
-        for (i, which, _, prefix, first), n, v in zip(plans, lengths, values):
-            own, cnt = edges[ends[lo] : ends[lo + n]], count[lo : lo + n]
-            owner = np.repeat(which, cnt)
+        for (i, which, _, prefix, first), n, v, x, y in zip(plans, lengths, values, cuts, cuts[1:]):
+            own, log, owner = edges[x:y], logs[x:y], np.repeat(which, count[lo : lo + n])
             lo += n
             if prefix is not None:
-                own, owner = np.concatenate([prefix[0], own]), np.concatenate([prefix[1], owner])
-            noise_key = base[i] ^ (np.uint64((turn + 1) * 0xA0761D6478BD642F & _ALL))
-            p = _Path(lat, own, owner, float(v), first, _clock(noise_key + np.arange(first, len(own), dtype=np.uint64)))
+                own, owner, log = (np.concatenate(z) for z in zip(prefix, (own, owner, log)))
+            p = _Path(own, owner, log, float(v), first, late[x:y])
             paths[i].append(p)
             out[i].append((lat.piece[own], p.log_prob, p.value, 1.0))
     lat.forget_long()
@@ -385,7 +396,7 @@ def _split(lat: Lattice, nodes: np.ndarray, i: int, path: _Path, t: int, base: n
     else:
         path.delay[t] = np.inf
     o = int(path.owner[t])
-    prefix = np.append(path.edges[:t], new), np.append(path.owner[:t], o)
+    prefix = np.append(path.edges[:t], new), np.append(path.owner[:t], o), np.append(path.logs[:t], np.log(lat.chance[new]))
     which, at = np.arange(o + 1, len(nodes)), nodes[o + 1 :]
     if lat.to[new] >= 0:
         which, at = np.concatenate([[o], which]), np.concatenate([[lat.to[new]], at])
