@@ -198,7 +198,7 @@ class Lattice:
         """The first node of each chunk. All new chunks are compiled together, in arrays."""
         if self.nodes > KEEP:
             self._reset()
-        missing = [c for c in chunks if c not in self.known]
+        missing = list(chunks.difference(self.known))
         if not missing:
             return self.known
         symbols, length = self._symbols(missing)
@@ -328,7 +328,7 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
     value. All noise comes from the row's key, so neither batches nor tasks change it.
     """
     chunks = [_CHUNK.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    known = lat.learn(set().union(*map(set, chunks)) if chunks else set())
+    known = lat.learn(set().union(*chunks))
     nodes = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in chunks]
     base = _mix(keys ^ np.uint64(seed))
     paths: list[list[_Path]] = [[] for _ in texts]
@@ -359,7 +359,8 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
             continue
         lengths = [len(p[1]) for p in plans]
         node = np.concatenate([p[2] for p in plans])
-        key = np.concatenate([_mix(p[1].astype(np.uint64) + np.uint64((int(base[p[0]]) + turn * 0x2545F4914F6CDD1D) & _ALL)) for p in plans])
+        salt = base[[p[0] for p in plans]] + np.uint64(turn * 0x2545F4914F6CDD1D & _ALL)
+        key = _mix(np.concatenate([p[1] for p in plans]).astype(np.uint64) + np.repeat(salt, lengths))
         edges, count = lat.walk(node, key)
         ends = np.concatenate([[0], np.cumsum(count)])
         cuts = ends[np.concatenate([[0], np.cumsum(lengths)])]

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from riskspark.llm import embed_dedup, graph_ann, html_blocks, line_chunks, packing, quality, queries, secret_scan, shared, simhash, toxicity
+from riskspark.llm import embed_dedup, graph_ann, html_blocks, lattice_sampling, line_chunks, packing, quality, queries, secret_scan, shared, simhash, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -216,3 +216,19 @@ def test_a_worker_gives_memory_back():
         return (psutil.Process().memory_info().rss - before) / 1e6 if out else 0
 
     assert held(shared.tidied(run)) < 60
+
+
+def test_sampling_draws_noise_for_all_texts_at_once(monkeypatch):
+    lat = lattice_sampling.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts, keys = ["some words and words", "", "other words\nhere"], np.arange(3, dtype=np.uint64)
+    calls, mix = [], lattice_sampling._mix
+    alone = [lattice_sampling.sample_batch(lat, [t], keys[i : i + 1], 3)[0] for i, t in enumerate(texts)]
+    monkeypatch.setattr(lattice_sampling, "_mix", lambda x: calls.append(1) or mix(x))
+    for n in (1, 9):
+        calls.clear()
+        got = lattice_sampling.sample_batch(lat, texts * n, np.tile(keys, n), 1)
+        assert len(calls) < 30  # a turn's noise is drawn for all texts at once
+    both = lattice_sampling.sample_batch(lat, texts, keys, 3)
+    for x, y in zip(alone, both):
+        assert [a[0].tolist() for a in x] == [b[0].tolist() for b in y] and np.allclose([a[1:] for a in x], [b[1:] for b in y])
+    assert [len(x) for x in got] == [1] * 27
