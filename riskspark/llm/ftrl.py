@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +33,8 @@ class Linear:
         return 1.0 / (1.0 + np.exp(-min(35.0, max(-35.0, z))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, p: Ftrl) -> np.ndarray:
-    """rows: (features, values, label from 0 to 1), in the order in which each epoch takes them."""
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, float]], size: int, p: Ftrl) -> np.ndarray:
+    """rows: (features, values, label from 0 to 1), in the order in which each epoch takes them; gone through once an epoch."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     bias = np.array([size])
     for _ in range(p.epochs):

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskspark.llm import ftrl, html_blocks, lattice_sampling, line_chunks, packing, quality, queries, secret_scan, shared, toxicity
@@ -217,6 +219,39 @@ def test_label_model_weighs_voters():
     assert m.share[0] < 0.75 < m.share[2]
 
 
+def test_label_model_holds_no_copy_of_all_votes():
+    rng = np.random.default_rng(3)
+    n, m = 30_000, 200
+    y = rng.random(n) < 0.2
+    votes = (rng.random((n, m)) < np.where(y, 0.1, 0.01)[:, None]).astype(np.uint8)
+    tracemalloc.start()
+    try:
+        model = toxicity.fit_label_model(votes, [str(i) for i in range(m)], np.where(np.arange(n) < 3000, y, np.nan), 0.2, rounds=4)
+        found, peak = model.posterior(votes), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < n * m * 4
+    said, silent = (np.log(model.hit) - np.log(model.miss)) * model.share, (np.log1p(-model.hit) - np.log1p(-model.miss)) * model.share
+    plain = np.log(model.prior) - np.log1p(-model.prior) + votes.astype(float) @ said + (1 - votes.astype(float)) @ silent
+    assert np.allclose(found, 1 / (1 + np.exp(-np.clip(plain, -35, 35))), rtol=1e-12, atol=0)
+
+
+def test_classifier_learns_from_batches_as_from_rows():
+    rng = np.random.default_rng(4)
+    rows = [(int(p), None if p % 3 else float(p % 2), sorted(rng.choice(4, rng.integers(0, 4), False).tolist()), sorted(rng.choice(50, rng.integers(0, 9), False).tolist())) for p in rng.permutation(200)]
+    kinds = {"place": pa.int64(), "y": pa.float64(), "votes": pa.list_(pa.int32()), "at": pa.list_(pa.int32())}
+    parts = [rows[:70], [], rows[70:]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds.values())], [*kinds]) for part in parts]
+    params = ftrl.Ftrl(epochs=2)
+    linear, model = toxicity.learned(iter(batches), list("abcd"), 0.3, params)
+    rows.sort()
+    votes = np.array([[int(v in r[2]) for v in range(4)] for r in rows])
+    plain = toxicity.fit_label_model(votes, list("abcd"), np.array([np.nan if r[1] is None else r[1] for r in rows]), 0.3)
+    assert np.array_equal(model.hit, plain.hit) and np.array_equal(model.share, plain.share)
+    soft = plain.posterior(votes)
+    assert np.array_equal(linear.weights, ftrl.fit([(np.array(r[3], int), np.ones(len(r[3])), p) for r, p in zip(rows, soft)], 1 << toxicity.BITS, params))
+
+
 def test_samples_against_all_segmentations(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     lat = lattice_sampling.lattice(path)
