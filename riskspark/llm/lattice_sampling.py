@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,32 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def _cut(text: str) -> list[str]:
+    """The chunks of a text, as _CHUNK finds them in it with marks for its spaces and one before it; split at spaces
+    where no two marks meet, which is faster."""
+    if not text:
+        return []
+    marked = f" {text}".replace("▁", " ")
+    if "  " in marked:
+        return _CHUNK.findall(marked.replace(" ", "▁"))
+    found = marked[1:].replace(" ", " ▁").replace("\n", " \n ").split(" ")
+    found[0] = f"▁{found[0]}"
+    return [c for c in found if c] if "\n\n" in text or "\n " in marked or text[-1] == "\n" else found
+
+
+class _Numbers(dict):
+    """Gives each key that is looked up a number, new ones rising ones, and lists the new keys."""
+
+    def __init__(self) -> None:
+        self.count, self.new = 0, []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = self.count
+        self.count += 1
+        self.new.append(key)
+        return n
+
+
 class Lattice:
     """The graph of all segmentations of each chunk seen, as flat arrays.
 
@@ -110,7 +137,8 @@ class Lattice:
         self.rare, self.rare_to = np.array([k for k, _ in rest], np.int64), np.array([i for _, i in rest], np.int32)
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
+        self.start = np.zeros(1 << 16, np.int64)
         self.long: list[str] = []
         self.nodes = self.edges = 0
 
@@ -194,13 +222,24 @@ class Lattice:
         out[edges] = share
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, int]:
-        """The first node of each chunk. All new chunks are compiled together, in arrays."""
+    def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The first node of each chunk of each text. All new chunks are compiled together, in arrays."""
         if self.nodes > KEEP:
             self._reset()
-        missing = list(chunks.difference(self.known))
-        if not missing:
-            return self.known
+        ends = np.cumsum([0, *map(len, texts)])
+        found = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, ends[-1])
+        missing, self.known.new = self.known.new, []
+        if missing:
+            try:
+                self._compile(missing)
+            except BaseException:
+                self._reset()
+                raise
+        nodes = self.start[found]
+        return [nodes[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+    def _compile(self, missing: list[str]) -> None:
+        """Nodes and edges of the chunks that have the highest numbers, in the numbers' order."""
         symbols, length = self._symbols(missing)
         ends = np.repeat(np.cumsum(length), length)
         left = ends - np.arange(len(symbols))
@@ -218,10 +257,11 @@ class Lattice:
         to = np.where(last, -1, end + self.nodes)
         for name, values in (("cum", run), ("chance", chance), ("to", to), ("piece", piece)):
             getattr(self, name)[self.edges : edges] = values
-        self.known.update(zip(missing, (self.nodes + np.cumsum(length) - length).tolist()))
+        if self.known.count > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(2 * self.known.count - len(self.start), np.int64)])
+        self.start[self.known.count - len(missing) : self.known.count] = self.nodes + np.cumsum(length) - length
         self.long += [c for c in missing if len(c) > KEPT_LENGTH]
         self.nodes, self.edges = nodes, edges
-        return self.known
 
     def forget_long(self) -> None:
         for c in self.long:
@@ -314,8 +354,8 @@ def _late(p: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.log(p), np.log(_clock(key + np.arange(len(key), dtype=np.uint64)) / rest)
 
 
-def _key(base: np.uint64, x: int) -> np.ndarray:
-    return base ^ _mix(np.array([x & _ALL], np.uint64))
+def _key(base: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return base ^ _mix(x.astype(np.uint64))
 
 
 def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -327,9 +367,7 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
     That is Gumbel top-k without listing the segmentations. The inclusion score is the chance to be above the (k+1)-th
     value. All noise comes from the row's key, so neither batches nor tasks change it.
     """
-    chunks = [_CHUNK.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    known = lat.learn(set().union(*chunks))
-    nodes = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in chunks]
+    nodes = lat.learn([_cut(t) for t in texts])
     base = _mix(keys ^ np.uint64(seed))
     paths: list[list[_Path]] = [[] for _ in texts]
     plans = [(i, np.arange(len(n)), n, None, 0) for i, n in enumerate(nodes)]  # text, chunks to draw, their nodes, prefix, first own edge
@@ -337,7 +375,7 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
     values = -np.log(-np.log(_uniform(base)))
     for turn in range(k + 1):
         if turn:
-            plans, values = [], []
+            values, left = [], []
             for i, found in enumerate(paths):
                 best, v = None, -np.inf
                 for p in found:
@@ -352,9 +390,12 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
                         out[i][x] = (ids, lp, g, float(-np.expm1(-np.exp(min(50.0, lp - v)))))
                     continue
                 values.append(v)
-                plans.append(_split(lat, nodes[i], i, best, at, base[i], turn))
-            if turn == k:
+                left.append((i, best, at))
+            if turn == k or not left:
                 break
+            who, edge = np.array([x[0] for x in left]), np.array([x[2] for x in left])
+            draws = _uniform(_key(base[who], edge + turn * 1_000_003)), _clock(_key(base[who], edge + turn * 7_000_003))
+            plans = [_split(lat, nodes[i], i, best, at, u, c) for (i, best, at), u, c in zip(left, *(d.tolist() for d in draws))]
         if not plans:
             continue
         lengths = [len(p[1]) for p in plans]
@@ -379,20 +420,18 @@ def sample_batch(lat: Lattice, texts: list[str], keys: np.ndarray, k: int, seed:
     return out
 
 
-def _split(lat: Lattice, nodes: np.ndarray, i: int, path: _Path, t: int, base: np.uint64, turn: int):
-    """The set that leaves path at edge t, split: an edge not yet taken there is drawn, and what is left of the set gets a
-    value below this one."""
+def _split(lat: Lattice, nodes: np.ndarray, i: int, path: _Path, t: int, u: float, clock: float):
+    """The set that leaves path at edge t, split: an edge not yet taken there is drawn by u, and what is left of the set
+    gets a value below this one by the clock."""
     e = int(path.edges[t])
     gone = path.taken.setdefault(t, [e])
     node = int(np.searchsorted(lat.first[: lat.nodes + 1], e, side="right")) - 1
     left = [x for x in range(int(lat.first[node]), int(lat.first[node + 1])) if x not in gone]
     p = lat.chance[left]
-    u = _uniform(_key(base, turn * 1_000_003 + t))
-    new = left[min(len(left) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u[0], side="right")))]
+    new = left[min(len(left) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), u, side="right")))]
     gone.append(new)
     rest = float(p.sum() - lat.chance[new])
     if len(left) > 1 and rest > 0:
-        clock = float(_clock(_key(base, turn * 7_000_003 + t))[0])
         path.delay[t] = np.logaddexp(path.delay[t], np.log(clock / rest) - path.before[t])
     else:
         path.delay[t] = np.inf

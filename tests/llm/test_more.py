@@ -232,3 +232,41 @@ def test_sampling_draws_noise_for_all_texts_at_once(monkeypatch):
     for x, y in zip(alone, both):
         assert [a[0].tolist() for a in x] == [b[0].tolist() for b in y] and np.allclose([a[1:] for a in x], [b[1:] for b in y])
     assert [len(x) for x in got] == [1] * 27
+
+
+def test_chunks_as_the_pattern_finds_them():
+    rng = random.Random(5)
+    odd = ["", " ", "  ", "\n", "a", " a", "a ", "a\n", "\na", "a \n b", "a\n\n b", "▁", "a▁b", "a▁ b", "\t a\rb c\x0b", "\n \n", " \n", "\n "]
+    for t in odd + ["".join(rng.choice(["a", "bc", " ", " ", "\n", "é▁"[rng.randrange(2)], "\t"]) for _ in range(rng.randrange(12))) for _ in range(3000)]:
+        assert lattice_sampling._cut(t) == (lattice_sampling._CHUNK.findall("▁" + t.replace(" ", "▁")) if t else []), repr(t)
+
+
+def test_noise_is_drawn_for_all_texts_at_once(monkeypatch):
+    lat = lattice_sampling.lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    mix, calls = lattice_sampling._mix, []
+    monkeypatch.setattr(lattice_sampling, "_mix", lambda x: calls.append(1) or mix(x))
+    used = []
+    for n in (4, 40):
+        calls.clear()
+        lattice_sampling.sample_batch(lat, ["three small words"] * n, np.zeros(n, np.uint64), 3)
+        used.append(len(calls))
+    assert used[0] == used[1]
+
+
+def test_samples_whatever_the_lattice_keeps(monkeypatch):
+    lat = lattice_sampling.Lattice(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["some words\nand  more", "x" * 90 + " and words", "", "other words " + "y" * 50]
+    keys = np.arange(4, dtype=np.uint64)
+
+    def flat():
+        return [(ids.tolist(), *rest) for found in lattice_sampling.sample_batch(lat, texts, keys, 3) for ids, *rest in found]
+
+    first = flat()
+    assert flat() == first and not lat.long and "▁words" in lat.known and "▁" + "x" * 90 not in lat.known
+    monkeypatch.setattr(lattice_sampling, "KEEP", 0)
+    assert flat() == first
+    monkeypatch.setattr(lat, "_fits", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lattice_sampling.sample_batch(lat, ["a new▁word"], keys[:1], 3)
+    monkeypatch.undo()
+    assert flat() == first
