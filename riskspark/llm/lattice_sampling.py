@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only
+from .shared import only, tidied
 
 SAMPLES, SEED = 3, 20_240_101
 #: Chunks of a text between which no piece lies: pieces hold the space mark only at their start, and no line break.
 _CHUNK = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 _SCHEMA = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double"
-#: Nodes kept for reuse; chunks of more characters than this are not kept.
-KEEP, KEPT_LENGTH = 3_000_000, 40
+#: Nodes kept for reuse, of about 64 bytes with their edges; chunks of more characters than this are not kept.
+KEEP, KEPT_LENGTH = 700_000, 40
+#: Characters of the texts that are sampled together; one text is taken whole, however long.
+TOGETHER = 100_000
 #: Symbols whose steps down the trie are a table's columns.
 COMMON = 128
 _models: dict = {}
@@ -97,16 +99,14 @@ class Lattice:
         for i, w in self.weight.items():
             self.log_weight[i] = np.log(w)
         self._trie()
-        self.first = np.zeros(1 << 16, np.int64)
-        self.cum, self.chance = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.to, self.piece = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.cum = np.empty(0)
         self._reset()
 
     def _trie(self) -> None:
         """The pieces' prefixes as a trie over symbols: a known character, or a byte of an unknown one.
 
-        Node 0 is the root; nodes that have children come first. `step` has a row for each of them and a column for each
-        of the COMMON most usual symbols; the other children lie in a sorted list of (node, symbol).
+        Node 0 is the root; nodes that have children come first. `step` has a place for each of them and each of the
+        COMMON most usual symbols; the other children lie in a sorted list of (node, symbol).
         """
         prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         usual = Counter(p[-1] for p in prefixes)
@@ -121,14 +121,14 @@ class Lattice:
         place = {p: i for i, p in enumerate([*inner, *sorted(prefixes.difference(inner))])}
         self.inner, self.longest = len(inner), max(map(len, prefixes))
         self.ends = np.full(len(place) + 256, -1, np.int32)
-        self.step = np.zeros((len(inner), COMMON), np.int32)
+        self.step = np.zeros(len(inner) * COMMON, np.min_scalar_type(len(self.ends)))
         rest = [(first + b, len(place) + b) for b in self.bytes]
         for p, i in place.items():
             self.ends[i] = self.ids.get(p, -1)
             if p:
                 at, s = place[p[:-1]], symbols[p[-1]]
                 if s < COMMON:
-                    self.step[at, s] = i
+                    self.step[at * COMMON + s] = i
                 else:
                     rest.append(((at << 16) + s, i))
         for b, i in self.bytes.items():
@@ -138,7 +138,10 @@ class Lattice:
 
     def _reset(self) -> None:
         self.known = _Numbers()
-        self.start = np.zeros(1 << 16, np.int64)
+        if not 0 < len(self.cum) <= 8 * KEEP:  # also after a very long text, whose room is given back
+            self.start, self.first = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+            self.cum, self.chance = np.empty(1 << 18), np.empty(1 << 18)
+            self.to, self.piece = np.empty(1 << 18, np.int32), np.empty(1 << 18, np.int32)
         self.long: list[str] = []
         self.nodes = self.edges = 0
 
@@ -163,19 +166,19 @@ class Lattice:
 
         All places go down the trie together, a symbol a turn.
         """
-        at, node = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
+        at, node = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
         found, width = [], np.zeros(len(symbols), np.int64)
         for depth in range(1, self.longest + 1):
             s = symbols[at + (depth - 1)]
             usual = s < COMMON
-            child = self.step[node, np.where(usual, s, 0)]
+            child = self.step.take(node * COMMON + np.where(usual, s, 0))
             odd = np.flatnonzero(~usual)
             if len(odd):
-                key = (node[odd].astype(np.int64) << 16) + s[odd]
+                key = (node[odd] << 16) + s[odd]
                 k = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
                 child[odd] = np.where(self.rare[k] == key, self.rare_to[k], 0)
             on = np.flatnonzero(child)
-            at, node = at[on], child[on]
+            at, node = at[on], child[on].astype(np.int64)
             piece = self.ends[node]
             whole = np.flatnonzero(piece >= 0)
             found.append((at[whole], piece[whole]))
@@ -251,14 +254,12 @@ class Lattice:
         run -= np.repeat(run[lo] - chance[lo], width)
         run[lo + width - 1] = 1.0
         nodes, edges = self.nodes + len(symbols), self.edges + len(end)
-        self._grow(nodes + 1, edges)
+        self._grow(self.known.count, nodes + 1, edges)
         self.first[self.nodes : nodes] = lo + self.edges
         self.first[nodes] = edges
         to = np.where(last, -1, end + self.nodes)
         for name, values in (("cum", run), ("chance", chance), ("to", to), ("piece", piece)):
             getattr(self, name)[self.edges : edges] = values
-        if self.known.count > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(2 * self.known.count - len(self.start), np.int64)])
         self.start[self.known.count - len(missing) : self.known.count] = self.nodes + np.cumsum(length) - length
         self.long += [c for c in missing if len(c) > KEPT_LENGTH]
         self.nodes, self.edges = nodes, edges
@@ -268,14 +269,15 @@ class Lattice:
             del self.known[c]
         self.long.clear()
 
-    def _grow(self, nodes: int, edges: int) -> None:
-        if nodes > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(max(nodes, len(self.first)) * 2 - len(self.first), np.int64)])
-        if edges > len(self.cum):
-            more = max(edges, len(self.cum)) * 2 - len(self.cum)
-            for name in ("cum", "chance", "to", "piece"):
+    def _grow(self, chunks: int, nodes: int, edges: int) -> None:
+        """Room for so many of each. Room not yet used is not written to, so that it takes no memory."""
+        for n, names in ((chunks, ("start",)), (nodes, ("first",)), (edges, ("cum", "chance", "to", "piece"))):
+            for name in names:
                 old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
+                if n > len(old):
+                    new = np.empty(2 * n, old.dtype)
+                    new[: len(old)] = old
+                    setattr(self, name, new)
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its chunk's end by chance: the edges taken, chunk after chunk, and each chunk's number."""
@@ -459,7 +461,7 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, with
             lo = 0
             while lo < len(ids):
                 part, size = [], 0
-                while lo + len(part) < len(ids) and (not part or size < 400_000):
+                while lo + len(part) < len(ids) and (not part or size < TOGETHER):
                     t = texts[lo + len(part)].as_py() or ""
                     part.append(t)
                     size += len(t)
@@ -475,7 +477,7 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, with
                 lo += len(part)
 
     source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, _SCHEMA + extra)
+    return source.mapInArrow(tidied(run), _SCHEMA + extra)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:

@@ -270,3 +270,24 @@ def test_samples_whatever_the_lattice_keeps(monkeypatch):
         lattice_sampling.sample_batch(lat, ["a new▁word"], keys[:1], 3)
     monkeypatch.undo()
     assert flat() == first
+
+
+def test_a_lattice_takes_little_memory(monkeypatch):
+    psutil = pytest.importorskip("psutil")
+    lat, rng = lattice_sampling.Lattice(queries.tokenizer_path("piece_bpe_32k.model")), random.Random(3)
+    before, most = psutil.Process().memory_info().rss, 0
+    for _ in range(16):  # 3.2 million nodes
+        lat.learn([["▁" + "".join(rng.choices("etaoinshr", k=9)) for _ in range(20_000)]])
+        most = max(most, psutil.Process().memory_info().rss - before)
+    assert most < 220e6
+
+    monkeypatch.setattr(lattice_sampling, "KEEP", 40_000)
+    keys, texts = np.zeros(1, np.uint64), ["some words " * 3]
+
+    def flat():
+        return [(ids.tolist(), *rest) for ids, *rest in lattice_sampling.sample_batch(lat, texts, keys, 3)[0]]
+
+    first = flat()
+    lat.learn([["x" * 100_000]])
+    assert len(lat.cum) > 320_000
+    assert flat() == first and len(lat.cum) < 320_000  # a long text's room is given back
