@@ -19,51 +19,111 @@ CAPACITY = 4096
 PART = 4096
 ROUNDS = 2
 END = np.array([1], "<u4").tobytes()
-#: ASCII letters, then marks; an apostrophe may begin a word's ending, so it is none of them.
-_MARKED = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+LOT = 4_000_000
+#: Latin letters without the dotted I, and Cyrillic ones: all of them are whole in NFC and fold to one letter.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u047f]+")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Kinds of bytes. A letter of two bytes is known by its first one, INNER; other bytes and digits are OTHER.
+SPACE, LETTER, MARK, APOSTROPHE, INNER, OTHER = range(6)
+_KIND = np.array([SPACE if c in b"\t\n\v\f\r " else APOSTROPHE if c == 39 else MARK if c in _MARKS else LETTER if c < 128 and chr(c).isalpha() else INNER if c in b"\xc3\xc4\xc5\xd0\xd1" else OTHER for c in range(256)], np.uint8)
+#: By 6 times the kind of a byte and that of the next: whether a chunk begins with the next, and whether one ends before it.
+_CUT = np.array([(a, b) == (MARK, LETTER) or (a, b) == (MARK, INNER) or a == LETTER and b in (MARK, APOSTROPHE) for a in range(6) for b in range(6)])
+_BEGIN = _CUT | np.array([a == SPACE != b for a in range(6) for b in range(6)])
+_END = _CUT | np.array([a != SPACE == b for a in range(6) for b in range(6)])
 _tokenizers: dict = {}
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes, put together from its white-space-bounded chunks.
+    """Ids of texts as little-endian bytes, put together from their chunks.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space and folds case, so the ids of lower-cased chunks
-    stand for those of the text; chunks are kept for reuse, up to a bound. Texts that may hold a special token's string
-    (found before case is folded) go to the tokenizer whole.
+    The vocabulary's pre-tokenizer never joins across ASCII white space, nor a letter and an ASCII mark after it, nor such
+    a mark and a letter after it, but for the apostrophe, which may begin a word's ending; and it folds case. So the ids of
+    the chunks between, lower-cased, stand for those of the text. Each chunk is looked up once for a lot of texts; chunks
+    are kept for reuse in two generations, up to a bound. Texts that may hold a special token's string (found before case
+    is folded) go to the tokenizer whole; those with combining marks, which NFC joins to some small letters only, keep
+    their case.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.keep, self.known = Tokenizer.from_file(path), keep, {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """A run of letters and the marks after it are cut apart here as the tokenizer cuts them, so that a word is
-        encoded once, not once for each mark that follows it."""
-        if len(self.known) + len(chunks) > self.keep:
-            self.known.clear()
-        cut = {c: m.groups() for c in chunks if (m := _MARKED.fullmatch(c))}
-        whole = chunks.difference(cut).union(*cut.values()) if cut else chunks
-        todo = [c for c in whole if c not in self.known]
-        for lo in range(0, len(todo), 20_000):
-            part = todo[lo : lo + 20_000]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, self.keep, self.known, self.old = Tokenizer.from_file(path), keep, {}, {}
+        self.words, suffix = Tokenizer(self.model.model), self.model.model.end_of_word_suffix
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are cut and folded already: the merges alone, many words at once, told apart by the tokens
+        that end a word."""
+        ids = np.array(self.words.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        raw = ids.tobytes()
+        return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Letters alone and marks alone are words as they are, other chunks go through the whole tokenizer."""
+        known, whole, words, folded = self.known, [], [], {}
+        for c in chunks:
+            if c.isalpha():  # ASCII letters
+                word = c.lower()
+            elif c.isascii():
+                word = b"" if c.strip(_MARKS) else c
+            else:
+                text = c.decode()
+                word = text.lower().encode() if _LETTERS.fullmatch(text) else b""
+            if not word:
+                whole.append(c)
+            elif word == c:
+                words.append(c)
+            else:
+                folded[c] = word
+        words += {w for w in folded.values() if w not in known}.difference(words)
+        for lo in range(0, len(words), 1000):
+            part = words[lo : lo + 1000]
+            known.update(zip(part, self._words(part)))
+        known.update([(c, known[word]) for c, word in folded.items()])
+        for lo in range(0, len(whole), 20_000):
+            part = whole[lo : lo + 20_000]
             found = self.model.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
-        self.known.update((c, self.known[a] + self.known[b]) for c, (a, b) in cut.items())
-
-    def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
-            return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            missing = set(chunks).difference(known)
-            if len(known) + len(missing) > self.keep:
-                missing = set(chunks)
-            self._learn(missing)
-            return b"".join(map(self.known.__getitem__, chunks))
+            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
+
+    def _look(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of the chunks, which are distinct."""
+        if len(self.known) > self.keep // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        found = list(map(known.get, chunks))
+        missing = [c for c, ids in zip(chunks, found) if ids is None]
+        if missing:
+            known.update([(c, ids) for c, ids in zip(missing, map(old.get, missing)) if ids is not None])
+            self._learn([c for c in missing if c not in known])
+            found = [known[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        return found
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        plain = [b"" if b"<|" in t else t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        raw = np.frombuffer(b" ".join([b"", *plain, b""]), np.uint8)
+        kind = _KIND[raw]
+        inner = np.flatnonzero(kind == INNER)
+        first, second = raw[inner], raw[inner + 1]
+        sign = (first == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (first == 0xC4) & (second == 0xB0)  # no letters, dotted I
+        kind[inner[sign]], kind[inner[~sign] + 1] = OTHER, LETTER
+        pairs = kind[:-1] * np.uint8(6) + kind[1:]
+        starts = np.flatnonzero(_BEGIN[pairs]) + 1
+        if not len(starts):
+            ids, ends = pa.py_buffer(b""), [0] * (len(texts) + 1)
+        else:
+            at = np.concatenate([[0], np.cumsum(np.flatnonzero(_END[pairs]) + 1 - starts)])
+            chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[kind != SPACE])]).dictionary_encode()
+            known = pa.array(self._look(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+            _, at, ids = known.take(chunks.indices).buffers()
+            ends = np.frombuffer(at, np.int64)[np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in plain)]))].tolist()
+        return [np.array(self.model.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if b"<|" in t else ids[lo:hi].to_pybytes() for t, lo, hi in zip(texts, ends, ends[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -72,6 +132,18 @@ def encoder(path: str) -> Encoder:
     return _tokenizers[path]
 
 
+def _encoded(coder: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text and the id 1; texts are encoded in lots of about LOT bytes."""
+    lot, held = [], 0
+    for t in texts:
+        lot.append(t.as_py() or b"")
+        held += len(lot[-1])
+        if held >= LOT:
+            yield from (ids + END for ids in coder.encode(lot))
+            lot, held = [], 0
+    yield from (ids + END for ids in coder.encode(lot))
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt) of docs (doc_id, text): whole documents, longer ones cut. salt is
     the row's place in its task, which tells repeated rows apart."""
@@ -81,9 +153,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         coder, row = encoder(tokenizer), 0
         for batch in batches:
             doc, piece, start, length, crc, salt = [], [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for i, ids in zip(batch.column(0).to_pylist(), _encoded(coder, batch.column(1))):
                 row += 1
-                ids = coder.encode(t.as_py() or b"") + END
                 for k, lo in enumerate(range(0, len(ids), width)):
                     cut = ids[lo : lo + width]
                     doc.append(i), piece.append(k), start.append(lo // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut)), salt.append(row)

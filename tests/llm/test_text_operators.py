@@ -98,6 +98,33 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_chunks_stand_for_the_text(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    model, coder, rng = Tokenizer.from_file(path), packing.Encoder(path, keep=2000), np.random.default_rng(0)
+    signs = [*"aabsHTWYJtdmlvre'''\"\".,!&()-_/<>|=~`^[]{}#$%   \t\n\v\f\r\x1c\0\x7f0129éÉèßñÀ×÷ÿŸıİſŉŁžŽǰΣςЖжйѐѿ҂世 　‍²ªµKǺ̸̖̱̇̈̊̌ͅ"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(8000)]
+    texts += [x for c in map(chr, range(1, 0x500)) for x in (c, f"a{c}b", f"H{c}, x", f"({c}'s.", f"é{c}É,{c}", f",{c}")]
+    texts += ["H̱ T̈ W̊ Y̊ J̌", "<|endoftext|> x", "<|x", "", "DON'T l'été 'tis rock'n'roll", "word " * 3000]
+    monkeypatch.setattr(packing, "LOT", 5000)
+    got = list(packing._encoded(coder, pa.array([*(t.encode() for t in texts), None], pa.binary())))
+    assert got == [np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in [*texts, ""]]
+    assert len(coder.known) + len(coder.old) < 2000 + 2 * 5000  # bounded, but for a lot's own
+
+
+def test_words_are_encoded_once(monkeypatch):
+    coder, seen = packing.Encoder(queries.tokenizer_path("word_bpe_49k.json")), []
+    learn = coder._words
+    monkeypatch.setattr(coder, "_words", lambda words: seen.extend(words) or learn(words))
+    monkeypatch.setattr(coder, "model", None)  # the whole tokenizer is for other chunks
+    coder.encode([f"{a}{w}{b}".encode() for w in ("réel", "Réel", "ÉTÉ", "été", "word", "Word") for a in ("", "(", '"') for b in ("", ",", ".", "...")])
+    assert sorted(seen) == sorted(w.encode() for w in ("réel", "été", "word", "(", '"', ",", ".", "..."))
+    coder.encode([b"word.", "(été".encode()])
+    assert len(seen) == 8
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(20):
